@@ -39,3 +39,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     out = rows.select("doc_id", *keys, sha.alias("sha")).join(groups, ["h1", "h2", "sha"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=normalised) -> DataFrame:
+    """The rows of ``docs``, whole, that stay: one for each normalised text, also where a row repeats."""
+    t, n = normalise(text), F.length(F.coalesce(F.col(text), F.lit("")))
+    order = F.struct(-n, F.col(doc_id).isNull(), F.col(doc_id), F.col(text))
+    rows = docs.select(t.alias("t"), order.alias("o"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    keys = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(0x5EED), "t").alias("h2")]
+    return rows.select("o", "row", "t", *keys).groupBy("h1", "h2", "t").agg(F.min_by("row", "o").alias("row")).select("row.*")

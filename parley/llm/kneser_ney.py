@@ -33,7 +33,7 @@ SHARD_BYTES = 16_000_000  # UTF-8 bytes of text for each shard of the model
 SCORE_BYTES = 1 << 22
 _SENT = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("payload", pa.binary())])
 _SENT_SQL = "shard int, kind string, payload binary"
-_STATS = ["n_words", "n_tokens", "n_ends", "contexts", *(f"u{k}" for k in range(1, 5)), *(f"b{k}" for k in range(1, 5))]
+_STATS = ["n_words", "n_tokens", "n_ends", "contexts", *(f"u{k}" for k in range(1, 5)), *(f"b{k}" for k in range(1, 5)), *(f"c{k}" for k in range(1, 5))]  # u, b, c: words by contexts, bigrams and words by count
 
 Spans = Callable[[B.Block], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -182,7 +182,7 @@ def _merge_words(folder: str, shards: int):
             table[4, np.searchsorted(keys, after)] = n
             shared.put(f"{folder}/words-{shard:08d}", _pack(keys, table[0], *(t.astype(np.uint32) for t in table[1:])))
             pairs = sum((_unpack(p, np.int64)[0] for p in kinds.get("pairs of count", [])), np.zeros(4, np.int64))
-            row = [(table[0] > 0).sum(), table[0].sum(), table[0][keys == B.END].sum(), table[4].sum(), *((table[4] == k).sum() for k in range(1, 5)), *pairs]
+            row = [(table[0] > 0).sum(), table[0].sum(), table[0][keys == B.END].sum(), table[4].sum(), *((table[4] == k).sum() for k in range(1, 5)), *pairs, *((table[0] == k).sum() for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row], names=_STATS)
 
     return run
@@ -302,7 +302,7 @@ def fit(texts: DataFrame, spans: Spans = B.words, text: str = "text", shard_byte
     """Counts the model over all rows of ``texts`` (null text: empty). Runs Spark jobs; the arrays stay until the driver ends.
 
     Memory: a task holds FOLD_TOKENS tokens, or the packed arrays of one shard (about 3 tokens per 16 bytes of
-    text). No row, table or statistic of the corpus goes to the driver but twelve sums.
+    text). No row, table or statistic of the corpus goes to the driver but sixteen sums.
     """
     spark = texts.sparkSession
     texts = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -318,13 +318,13 @@ def fit(texts: DataFrame, spans: Spans = B.words, text: str = "text", shard_byte
 
 
 def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
-    """Adds to the rows of ``docs`` (all other columns pass through) what the model and the add-one unigram base say.
+    """Adds to the rows of ``docs`` (columns other than the text and of other names pass through) what the model and the add-one unigram base say.
 
     n_tokens (with the end), n_known (tokens that training has), train_tokens, base_score and score, both log10
     probabilities of the whole text. An empty or null text has one token, its end.
     """
-    keep = [c for c in docs.columns if c != text]
     added = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    keep = [c for c in docs.columns if c != text and c not in dict(added)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -217,7 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(_PIECES).fields])
     pieces = checkpointed(docs.mapInArrow(_pack(tokenizer_path, window, open_windows, end_id, schema), schema))
     done = pieces.where("not open").select("*", F.col("window").alias("sequence_id"))
-    # Leftover windows: rounds of merging, each in fewer tasks, until one task takes all that is open.
+    # Leftover windows: rounds of merging, each in fewer tasks, until one task takes all that is open or they merge no further.
     where = pieces.where("open").groupBy("window").agg(F.first("fill").alias("fill"))
     where = checkpointed(where.select("window", F.col("window").alias("target"), F.lit(0).cast("long").alias("base"), F.col("fill").alias("target_fill")))
     level, before = 1, None
@@ -225,13 +225,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
         left = where.where(F.col("target_fill") < window).select("target", "target_fill").distinct()
         n = left.count()
         tasks = -(-n // LEFTOVERS_PER_TASK)
-        if not n or (before is not None and before <= 1):
+        if not n or (before is not None and (before <= 1 or tasks >= before)):
             break
         moved = left.repartition(tasks, "target").mapInArrow(_merge(window, 1 << 62), "window long, target long, base long, target_fill long")
-        moved = moved.select(F.col("window").alias("old"), (F.col("target") + F.lit(level << 60)).alias("new"), F.col("base").alias("shift"), F.col("target_fill").alias("new_fill"))
+        moved = moved.select(F.col("window").alias("old"), (F.col("target") + F.lit(level << 58)).alias("new"), F.col("base").alias("shift"), F.col("target_fill").alias("new_fill"))
         where = where.join(moved, where.target == moved.old, "left").select("window", F.coalesce("new", "target").alias("target"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base"), F.coalesce("new_fill", "target_fill").alias("target_fill"))
         where = checkpointed(where)
-        level, before = 3 - level, tasks
+        level, before = level + 1, tasks
     late = pieces.where("open").join(where.drop("target_fill"), "window").select(*[c for c in pieces.columns if c != "offset"], (F.col("offset") + F.col("base")).alias("offset"), F.col("target").alias("sequence_id"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return done.select(*names).unionByName(late.select(*names))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, kneser_ney, sharding, simhash
+from parley.llm import exact_dedup, kneser_ney, language_id, packing, secrets, sentencepiece_codec, sharding, simhash, toxicity, vector_join
 from parley.llm.folds import is_held_out
 
 
@@ -18,10 +18,25 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.fit(docs.where("not held_out")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_folds(docs, _table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs.withColumn("held_out", is_held_out("doc_id", 5, 0)), model)
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +45,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op3_sharding, op6_exact_dedup, op7_simhash)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_sharding, op4_secrets, op5_vector_join, op6_exact_dedup, op7_simhash, op8_language_id, op9_packing, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""

@@ -243,3 +243,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = nodes.select("fp", "root").join(named, "root").select("fp", "component_id")
     out = rows.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose id is their component's smallest. Rows that repeat an id go or stay together."""
+    found = near_duplicates(docs, doc_id, text)
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(gone, doc_id, "left_anti").select(docs.columns)

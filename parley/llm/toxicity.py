@@ -1,11 +1,12 @@
-"""Toxicity by two class-conditional Kneser-Ney models of word stems and endings.
-
-Every word is its stem (the first four code points) and, if anything is left, its ending. A bigram model of this
-sequence is counted for toxic texts and one for ordinary texts. Either backs off from its bigrams to its own
-unigrams and from there to one shared level, the context counts of both classes pooled, so an expression that one
-class lacks is judged by how common it is at all. A text's score is the difference of its two log-likelihoods,
-divided by its number of tokens, put through a logistic curve that is fitted on labelled rows held back from the
-counts.
+"""Toxicity by two class-conditional Kneser-Ney models of word stems.
+
+A word counts by its stem, its first four code points. One model is counted over toxic and one over ordinary texts.
+Each discounts its counts (modified Kneser-Ney discounts of its own) and hands the mass that this frees to one
+shared lower level: the numbers of different stems that a stem follows, pooled over both classes. So an expression
+that one class lacks is judged by how widely it is used at all. A text is scored by the difference of its two
+log-likelihoods over its number of tokens. Differences of a single token within ``DEAD_ZONE`` nats are what two
+separately counted models show for ordinary words; they are shrunk to nothing, and larger ones by as much. A logistic
+curve, fitted on labelled rows held back from the counts, turns the mean into a score.
 """
 
 from __future__ import annotations
@@ -26,26 +27,16 @@ from parley.llm.folds import fold
 STEM = 4
 #: Bound on the labelled rows that are learned from: of each class, about this many for the counts and a quarter of it for the curve.
 MAX_LABELLED = 20_000
-CLIP = 4.0  # nats that one token can say for or against
+DEAD_ZONE = 2.5
 
 
-def stems_and_endings(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stems(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, doc = B.words(block)
     if not len(starts):
         return starts, ends, doc
-    lead = (block.data & 0xC0) != 0x80
+    lead = (block.data & 0xC0) != 0x80  # first bytes of code points
     where = np.append(np.flatnonzero(lead), [len(block.data)] * STEM)
-    cut = np.minimum(where[np.cumsum(lead)[starts] - 1 + STEM], ends)
-    rest = cut < ends
-    out = np.empty(len(starts) + int(rest.sum()), np.int64)
-    at = np.arange(len(starts)) + np.cumsum(rest) - rest
-    out[at] = starts
-    out[at[rest] + 1] = cut[rest]
-    stop = np.empty_like(out)
-    stop[at] = cut
-    stop[at[rest] + 1] = ends[rest]
-    whose = np.repeat(doc, 1 + rest)
-    return out, stop, whose
+    return starts, np.minimum(where[np.cumsum(lead)[starts] - 1 + STEM], ends), doc
 
 
 @dataclass
@@ -55,46 +46,51 @@ class Toxicity:
     slope: float = 1.0
     offset: float = 0.0
 
-    def ratios(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log P(token | toxic) - log P(token | ordinary) in nats, clipped."""
-        sides = [m.parts(tokens, before) for m in (self.toxic, self.ordinary)]
-        pooled = sides[0][1] + sides[1][1]
-        total = self.toxic.stats["contexts"] + self.ordinary.stats["contexts"]
-        base = (pooled + 1) / (total + self.toxic.stats["n_words"] + self.ordinary.stats["n_words"] + 1)
+    def ratios(self, tokens: np.ndarray) -> np.ndarray:
+        """log P(token | toxic) - log P(token | ordinary) in nats, shrunk by the dead zone."""
+        kinds, of = np.unique(tokens, return_inverse=True)
+        sides = [(m.stats, m.word_table(kinds)) for m in (self.toxic, self.ordinary)]
+        pooled = sum(table[4].astype(np.float64) for _, table in sides)
+        shared = (pooled + 1) / (sum(s["contexts"] + s["n_words"] for s, _ in sides) + 1)
         logs = []
-        for m, (_, contexts, seen, left) in zip((self.toxic, self.ordinary), sides, strict=True):
-            own, rest = m.lower(contexts)
-            logs.append(np.log(seen + left * (own + rest * base)))
-        return np.clip(logs[0] - logs[1], -CLIP, CLIP)
+        for s, table in sides:
+            d = np.array([0.0, *K.discounts([s[f"c{k}"] for k in range(1, 5)])])
+            freed = d[1] * s["c1"] + d[2] * s["c2"] + d[3] * (s["n_words"] - s["c1"] - s["c2"])
+            own = table[0].astype(np.float64) - d[np.minimum(table[0], 3).astype(np.int64)]
+            logs.append(np.log((own + (freed or 1.0) * shared) / max(s["n_tokens"], 1)))
+        ratio = logs[0] - logs[1]
+        return (np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD_ZONE, 0))[of]
 
     def means(self, block: B.Block) -> np.ndarray:
         """Each text's mean over its tokens, its end among them."""
-        tokens, before, doc = K.sequence(block, stems_and_endings)
-        return np.bincount(doc, self.ratios(tokens, before), block.n_docs) / np.bincount(doc, minlength=block.n_docs)
+        tokens, _, doc = K.sequence(block, stems)
+        return np.bincount(doc, self.ratios(tokens), block.n_docs) / np.bincount(doc, minlength=block.n_docs)
 
     def chance(self, means: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * means + self.offset, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of the regression of y on x; one class alone leaves a flat curve at its own value."""
+def curve_of(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that crosses 0.5 where the fewest of these rows are on the wrong side.
+
+    Of equally good places the widest gap is taken. The slope puts the median of the rows of class 1 beyond it at
+    0.95. One class alone leaves a flat curve on that class's side.
+    """
     if not len(x) or y.min() == y.max():
         return 0.0, (4.0 if len(y) and y[0] else -4.0)
-    mean, scale = x.mean(), max(x.std(), 1e-9)
-    z = np.stack([(x - mean) / scale, np.ones_like(x)], 1)
-    w = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (y - p) - ridge * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum(1 - y[::-1])[::-1], [0]])  # with the cut before row i
+    gap = np.concatenate([[1e-12], np.diff(x), [1e-12]])
+    at = max(np.flatnonzero((wrong == wrong[gap > 0].min()) & (gap > 0)), key=lambda i: gap[i])
+    cut = x[0] - 1e-3 if at == 0 else x[-1] + 1e-3 if at == len(x) else (x[at - 1] + x[at]) / 2
+    above = x[(y == 1) & (x > cut)]
+    slope = 3.0 / max(float(np.median(above)) - cut, 1e-3) if len(above) else 100.0
+    return float(slope), float(-slope * cut)
 
 
 def _means(docs: DataFrame, model: Toxicity, text: str) -> DataFrame:
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "mean", "score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("mean", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,18 +117,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, curve: Column, doc_id
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), learn.alias("learn"), curve.alias("curve")).where("learn or curve")
     rows = texts.join(known.where(thin), "id").persist()
     try:
-        models = [K.fit(rows.where(f"learn and y = {y}"), stems_and_endings) for y in (1, 0)]
+        models = [K.fit(rows.where(f"learn and y = {y}"), stems) for y in (1, 0)]
         found = Toxicity(*models)
         held = _means(rows.where("curve").select("y", "text"), found, "text").toPandas()  # two numbers each of a bounded sample
     finally:
         rows.unpersist()
-    found.slope, found.offset = logistic(held["mean"].to_numpy(), held["y"].to_numpy(float))
+    found.slope, found.offset = curve_of(held["mean"].to_numpy(), held["y"].to_numpy(float))
     return found
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
-    """Adds score and predicted to the rows of ``docs``, whose other columns pass through; null texts count as empty.
+    """Adds score and predicted to the rows of ``docs``; null texts count as empty.
 
+    The other columns but the text, ``mean`` and older ones of these names pass through.
     score is 0 to 1, higher where a toxic label is likelier; predicted is 1 from 0.5 on. Only the text is looked at.
     """
     rows = _means(docs, model, text)
@@ -140,6 +137,17 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     return rows.withColumn("score", chance).drop("mean").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def accepted(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose text is not predicted toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in B.blocks(batch.column(text), K.SCORE_BYTES):
+                yield batch.slice(block.first, block.n_docs).filter(pa.array(model.chance(model.means(block)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_folds(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Toxicity:
     """Learned without the rows whose id's fold of 5 is 0: folds 1 to 3 are counted, fold 4 sets the curve."""
     own = fold(doc_id, 5)
