@@ -102,12 +102,12 @@ def signal_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.signal_timeline(_events(spark, sf_dir), _codes(spark)).drop("first_open_date", "evidence", "confirmed", "closed_date")
 
 
-@query(f"WITH {EVENTS}, cl AS (SELECT manager, customer, code, max(epoch(event_date) * 1000000 + event_id) AS at FROM ev WHERE status = 'closed' GROUP BY 1, 2, 3) SELECT manager, customer, code, min(event_date) AS since FROM ev LEFT JOIN cl USING (manager, customer, code) WHERE status = 'open' AND (at IS NULL OR epoch(event_date) * 1000000 + event_id > at) GROUP BY 1, 2, 3")
+@query(f"WITH {EVENTS}, cl AS (SELECT manager, customer, code, max(epoch(event_date) * 1000000 + event_id) AS closed_at FROM ev WHERE status = 'closed' GROUP BY 1, 2, 3) SELECT manager, customer, code, min(event_date) AS since FROM ev LEFT JOIN cl USING (manager, customer, code) WHERE status = 'open' AND (closed_at IS NULL OR epoch(event_date) * 1000000 + event_id > closed_at) GROUP BY 1, 2, 3")
 def open_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.open_signals(_events(spark, sf_dir))
 
 
-@query(f"WITH {EVENTS}, e AS (SELECT * FROM ev WHERE event_date >= DATE '2024-01-20' - 90 AND event_date < DATE '2024-01-20'), cl AS (SELECT manager, customer, code, max(epoch(event_date) * 1000000 + event_id) AS at FROM e WHERE status = 'closed' GROUP BY 1, 2, 3) SELECT manager, customer, code, min(event_date) AS since FROM e LEFT JOIN cl USING (manager, customer, code) WHERE status = 'open' AND (at IS NULL OR epoch(event_date) * 1000000 + event_id > at) GROUP BY 1, 2, 3")
+@query(f"WITH {EVENTS}, e AS (SELECT * FROM ev WHERE event_date >= DATE '2024-01-20' - 90 AND event_date < DATE '2024-01-20'), cl AS (SELECT manager, customer, code, max(epoch(event_date) * 1000000 + event_id)  AS closed_at FROM e WHERE status = 'closed' GROUP BY 1, 2, 3) SELECT manager, customer, code, min(event_date) AS since FROM e LEFT JOIN cl USING (manager, customer, code) WHERE status = 'open' AND (closed_at IS NULL OR epoch(event_date) * 1000000 + event_id > closed_at) GROUP BY 1, 2, 3")
 def open_signals_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals still open ahead of a day, from the 90 days before it."""
     return contacts.open_signals(_events(spark, sf_dir), F.to_date(F.lit("2024-01-20")))
