@@ -103,7 +103,7 @@ def _folded(tokens: np.ndarray, before: np.ndarray, shards: int) -> list[tuple[i
     return out
 
 
-def _count(spans: Spans, shards: int):
+def _count(spans: Spans, shards: int, fold_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -111,7 +111,7 @@ def _count(spans: Spans, shards: int):
                 tokens, before, _ = sequence(block, spans)
                 held.append((tokens, before))
                 n += len(tokens)
-                if n >= FOLD_TOKENS:
+                if n >= fold_tokens:
                     yield _rows(_folded(*map(np.concatenate, zip(*held, strict=True)), shards))
                     held, n = [], 0
         if held:
@@ -298,10 +298,10 @@ class KneserNey:
         return np.log10(seen + left * (own + rest / (self.stats["n_words"] + 1))), count
 
 
-def fit(texts: DataFrame, spans: Spans = B.words, text: str = "text", shard_bytes: int = SHARD_BYTES) -> KneserNey:
+def fit(texts: DataFrame, spans: Spans = B.words, text: str = "text", shard_bytes: int = SHARD_BYTES, fold_tokens: int = FOLD_TOKENS) -> KneserNey:
     """Counts the model over all rows of ``texts`` (null text: empty). Runs Spark jobs; the arrays stay until the driver ends.
 
-    Memory: a task holds FOLD_TOKENS tokens, or the packed arrays of one shard (about 3 tokens per 16 bytes of
+    Memory: a task holds fold_tokens tokens, or the packed arrays of one shard (about 3 tokens per 16 bytes of
     text). No row, table or statistic of the corpus goes to the driver but sixteen sums.
     """
     spark = texts.sparkSession
@@ -309,7 +309,7 @@ def fit(texts: DataFrame, spans: Spans = B.words, text: str = "text", shard_byte
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = max(1, -(-size // shard_bytes))
     folder = shared.new_folder(spark, "kneser-ney")
-    sent = texts.mapInArrow(_count(spans, shards), _SENT_SQL).repartitionById(shards, F.col("shard"))
+    sent = texts.mapInArrow(_count(spans, shards, fold_tokens), _SENT_SQL).repartitionById(shards, F.col("shard"))
     sent = sent.mapInArrow(_merge_pairs(folder, shards), _SENT_SQL).repartitionById(shards, F.col("shard"))
     rows = sent.mapInArrow(_merge_words(folder, shards), ", ".join(f"{c} long" for c in _STATS))
     found = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first().asDict()

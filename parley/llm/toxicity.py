@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from parley.llm import blocks as B
 from parley.llm import kneser_ney as K
 from parley.llm.folds import fold
+from parley.llm.shared import checkpointed
 
 STEM = 4
 #: Bound on the labelled rows that are learned from: of each class, about this many for the counts and a quarter of it for the curve.
@@ -115,13 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, curve: Column, doc_id
         share = F.when(F.col("y") == y, min(1.0, 1.25 * most / n)).otherwise(share)
     thin = (F.xxhash64("id", F.lit("toxicity")).bitwiseAND((1 << 53) - 1) / float(1 << 53)) < share
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), learn.alias("learn"), curve.alias("curve")).where("learn or curve")
-    rows = texts.join(known.where(thin), "id").persist()
-    try:
-        models = [K.fit(rows.where(f"learn and y = {y}"), stems) for y in (1, 0)]
-        found = Toxicity(*models)
-        held = _means(rows.where("curve").select("y", "text"), found, "text").toPandas()  # two numbers each of a bounded sample
-    finally:
-        rows.unpersist()
+    # The thinned ids are bounded, so they are broadcast; their texts, bounded too, are read from all documents once.
+    rows = checkpointed(texts.join(F.broadcast(known.where(thin)), "id"))
+    found = Toxicity(*(K.fit(rows.where(f"learn and y = {y}"), stems, shard_bytes=1 << 23, fold_tokens=1 << 19) for y in (1, 0)))
+    held = _means(rows.where("curve").select("y", "text"), found, "text").toPandas()  # two numbers each of a bounded sample
     found.slope, found.offset = curve_of(held["mean"].to_numpy(), held["y"].to_numpy(float))
     return found
 
