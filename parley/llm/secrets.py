@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import blocks as B
+from parley.llm.shared import map_texts
 
 KINDS = ("assign", "access", "hex", "random")
 LEAST_CHARS = 20  # of a candidate for the token test
@@ -33,7 +34,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_CHARS)
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
-_IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[/_-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})){0,12}")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _IN_RUN = np.zeros(256, bool)
 _IN_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
@@ -62,10 +63,16 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def is_identifier(run: str) -> bool:
+    """Words of three letters and more on average, joined by marks or capitals, with two short numbers at most."""
+    parts = _PARTS.findall(run)
+    words, numbers = [p for p in parts if not p[0].isdigit()], [p for p in parts if p[0].isdigit()]
+    return bool(words) and sum(map(len, words)) >= 3 * len(words) and len(numbers) <= 2 and max(map(len, numbers), default=0) <= 4
+
+
 def is_known(run: str) -> bool:
     """Digests, UUIDs and identifiers, which are no secrets however they tokenise."""
-    mixed = sum(map(str.isdigit, run))
-    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or (_IDENTIFIER.fullmatch(run) and mixed <= len(run) // 4 and len(re.findall("[0-9]+", run)) <= 2))
+    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) or is_identifier(run)
 
 
 def find_secrets(text: str, words: Vocabulary) -> list[tuple[str, int, int]]:
@@ -104,7 +111,7 @@ def _suspects(block: B.Block) -> np.ndarray:
         while at >= 0:
             doc = np.searchsorted(offsets, at, side="right") - 1
             out[doc] = True
-            at = lower.find(word, int(offsets[doc + 1]) - len(word) + 1) if at < offsets[doc + 1] else -1
+            at = lower.find(word, max(at + 1, int(offsets[doc + 1]) - len(word) + 1))  # a word across two documents only adds a suspect
     hexes = np.zeros(256, bool)
     hexes[list(b"abcdef")] = True  # runs of 32 letters a-f alone
     letters = hexes[data]
@@ -146,7 +153,7 @@ def scan(docs: DataFrame, vocabulary_path: str, pattern: str, doc_id: str = "doc
                 columns += [[hashlib.sha256(shown([x for x in spans if x[0] != "random"]).encode()).hexdigest() for spans in found], [shown(spans) for spans in found]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(found)), *map(pa.array, columns)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def redacted_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -174,4 +181,4 @@ def redact(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
                 new = pc.if_else(mask, pa.array(fixed, column.type), own.column(text))
                 yield pa.RecordBatch.from_arrays([new if name == text else own.column(name) for name in schema.names], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
