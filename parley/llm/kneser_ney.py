@@ -30,7 +30,7 @@ from parley.llm import shared
 
 FOLD_TOKENS = 2_500_000  # tokens that a counting task holds before it folds equal ones and sends them on
 SHARD_BYTES = 16_000_000  # UTF-8 bytes of text for each shard of the model
-SCORE_BYTES = 1 << 22
+SCORE_BYTES = 1 << 20
 _SENT = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("payload", pa.binary())])
 _SENT_SQL = "shard int, kind string, payload binary"
 _STATS = ["n_words", "n_tokens", "n_ends", "contexts", *(f"u{k}" for k in range(1, 5)), *(f"b{k}" for k in range(1, 5)), *(f"c{k}" for k in range(1, 5))]  # u, b, c: words by contexts, bigrams and words by count
@@ -309,7 +309,7 @@ def fit(texts: DataFrame, spans: Spans = B.words, text: str = "text", shard_byte
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = max(1, -(-size // shard_bytes))
     folder = shared.new_folder(spark, "kneser-ney")
-    sent = texts.mapInArrow(_count(spans, shards, fold_tokens), _SENT_SQL).repartitionById(shards, F.col("shard"))
+    sent = shared.map_texts(texts, _count(spans, shards, fold_tokens), _SENT_SQL).repartitionById(shards, F.col("shard"))
     sent = sent.mapInArrow(_merge_pairs(folder, shards), _SENT_SQL).repartitionById(shards, F.col("shard"))
     rows = sent.mapInArrow(_merge_words(folder, shards), ", ".join(f"{c} long" for c in _STATS))
     found = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first().asDict()
@@ -339,4 +339,4 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
                 own = batch.slice(block.first, size)
                 yield pa.RecordBatch.from_arrays([own.column(c) for c in keep] + [pa.array(x) for x in columns], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return shared.map_texts(docs, run, schema)

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from parley.llm import blocks as B
 from parley.llm.folds import is_held_out
+from parley.llm.shared import checkpointed, map_texts
 
 N = 4
 MIN_RATE = 2e-5  # 50,000 n-grams a language at most
@@ -136,9 +137,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
     """
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from parley.llm.shared import checkpointed
-
+    counts = map_texts(rows, _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = checkpointed(counts)
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(totals) > MOST_LANGUAGES:
@@ -182,7 +181,7 @@ def identify(docs: DataFrame, found: Filter, doc_id: str = "doc_id", text: str =
                     score = np.where(letters & (total > 0), shares.max(axis=1) / np.maximum(total, 1e-12), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(languages[best], pa.string()), pa.array(score)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def identify_held_out(docs: DataFrame, folds: int = 4, held: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

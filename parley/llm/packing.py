@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 
 from parley.llm import blocks as B
 from parley.llm.merges import MergeTable, TwoGenerations
-from parley.llm.shared import checkpointed
+from parley.llm.shared import checkpointed, map_texts
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 END_ID = 1
 LEFTOVERS_PER_TASK = 20_000
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
@@ -215,7 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(_PIECES).fields])
-    pieces = checkpointed(docs.mapInArrow(_pack(tokenizer_path, window, open_windows, end_id, schema), schema))
+    pieces = checkpointed(map_texts(docs, _pack(tokenizer_path, window, open_windows, end_id, schema), schema))
     done = pieces.where("not open").select("*", F.col("window").alias("sequence_id"))
     # Leftover windows: rounds of merging, each in fewer tasks, until one task takes all that is open or they merge no further.
     where = pieces.where("open").groupBy("window").agg(F.first("fill").alias("fill"))

@@ -28,6 +28,20 @@ def shared_root(spark: SparkSession) -> str:
     return root if urlparse(root).scheme else f"file://{os.path.abspath(root)}"
 
 
+BATCH_ROWS = 2000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow for rows with texts: in batches of BATCH_ROWS at most, so that neither side buffers many long texts.
+
+    The session's setting is lowered for that, as plans read it when they run.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage, in files that outlive an executor."""
     shared_root(df.sparkSession)

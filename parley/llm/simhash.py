@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from parley.llm import blocks as B
 from parley.llm.graph import components, forest
-from parley.llm.shared import checkpointed
+from parley.llm.shared import checkpointed, map_texts
 
 SEED = 42
 SHINGLE = 3
@@ -80,7 +80,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long): the SimHash of each whole text; null and blank texts have 0."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(_fingerprints, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return map_texts(docs, _fingerprints, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 # --- the Golay code -------------------------------------------------------------------------------------------

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from parley.llm import blocks as B
 from parley.llm import kneser_ney as K
 from parley.llm.folds import fold
-from parley.llm.shared import checkpointed
+from parley.llm.shared import checkpointed, map_texts
 
 STEM = 4
 #: Bound on the labelled rows that are learned from: of each class, about this many for the counts and a quarter of it for the curve.
@@ -100,7 +100,7 @@ def _means(docs: DataFrame, model: Toxicity, text: str) -> DataFrame:
                 own = batch.slice(block.first, block.n_docs)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), pa.array(model.means(block))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, curve: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> Toxicity:
@@ -143,7 +143,7 @@ def accepted(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
             for block in B.blocks(batch.column(text), K.SCORE_BYTES):
                 yield batch.slice(block.first, block.n_docs).filter(pa.array(model.chance(model.means(block)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def fit_folds(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Toxicity:
