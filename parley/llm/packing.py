@@ -31,7 +31,7 @@ from parley.llm.shared import checkpointed, map_texts
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 END_ID = 1
 LEFTOVERS_PER_TASK = 20_000
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
