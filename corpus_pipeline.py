@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, packing, secrets, shared, simhash, toxicity
+from parley.llm import exact_dedup, near_copies, packing, secrets, shared, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked the one with the smallest id stays."""
-    return simhash.deduplicated(docs)
+    """Of near copies (5-word shingles of Jaccard 0.8 and more, or linked fingerprints) the one with the smallest id stays."""
+    return near_copies.deduplicated(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
