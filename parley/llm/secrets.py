@@ -1,9 +1,10 @@
 """Secrets in texts: three fixed patterns, and random strings found by how badly they tokenise.
 
 A byte-pair vocabulary spells ordinary words, even unknown ones, with several characters a token. A random
-string has few, as hardly any merge applies. Candidates are unbroken runs with letters and digits; known digests
-(hexadecimal of the usual lengths), UUIDs and identifiers (words joined by underscores, hyphens or capitals) are
-set aside first, so that checksums and names are not reported as secrets of this kind.
+string has few, as hardly any merge applies. Candidates are all unbroken runs of 16 characters and more; known
+digests (hexadecimal of the usual lengths), UUIDs and identifiers (parts that tokenise as words, joined by
+underscores, hyphens, capitals or numbers) are set aside, so that checksums and names are not reported as secrets
+of this kind.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from parley.llm import blocks as B
 from parley.llm.shared import map_texts
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST_CHARS = 20  # of a candidate for the token test
+LEAST_CHARS = 16  # of a candidate for the token test
 MOST_CHARS_PER_TOKEN = 2.2
+WORD_CHARS_PER_TOKEN = 2.6  # of the letters of an identifier, part by part: random ones stay below
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,12 +36,10 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_CHARS)
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _IN_RUN = np.zeros(256, bool)
 _IN_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
-_IN_DIGITS = np.zeros(256, bool)
-_IN_DIGITS[list(b"0123456789")] = True
 
 
 class Vocabulary:
@@ -63,16 +63,15 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def is_identifier(run: str) -> bool:
-    """Words of three letters and more on average, joined by marks or capitals, with two short numbers at most."""
+def is_identifier(run: str, words: Vocabulary) -> bool:
+    """The letters between marks, capitals and numbers tokenise as words do."""
     parts = _PARTS.findall(run)
-    words, numbers = [p for p in parts if not p[0].isdigit()], [p for p in parts if p[0].isdigit()]
-    return bool(words) and sum(map(len, words)) >= 3 * len(words) and len(numbers) <= 2 and max(map(len, numbers), default=0) <= 4
+    return bool(parts) and sum(map(len, parts)) > WORD_CHARS_PER_TOKEN * sum(len(words.encoding.encode_ordinary(p)) for p in parts)
 
 
-def is_known(run: str) -> bool:
+def is_known(run: str, words: Vocabulary) -> bool:
     """Digests, UUIDs and identifiers, which are no secrets however they tokenise."""
-    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) or is_identifier(run)
+    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) or is_identifier(run, words)
 
 
 def find_secrets(text: str, words: Vocabulary) -> list[tuple[str, int, int]]:
@@ -83,9 +82,9 @@ def find_secrets(text: str, words: Vocabulary) -> list[tuple[str, int, int]]:
     base = [(s, e) for _, s, e in out]
     for m in _RUN.finditer(text):
         run = m[0].rstrip("=")
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or is_known(run) or any(s < m.end() and m.start() < e for s, e in base):
+        if any(s < m.end() and m.start() < e for s, e in base):
             continue
-        if words.chars_per_token(run) <= MOST_CHARS_PER_TOKEN:
+        if re.search("[A-Za-z0-9]", run) and words.chars_per_token(run) <= MOST_CHARS_PER_TOKEN and not is_known(run, words):
             out.append(("random", *m.span()))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -99,11 +98,8 @@ def _suspects(block: B.Block) -> np.ndarray:
     inside = _IN_RUN[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    long = ends - starts >= 16  # runs may cross a document's end here; that only adds suspects
-    starts, ends = starts[long], ends[long]
-    digits = np.concatenate([[0], np.cumsum(_IN_DIGITS[data])])
-    with_digits = digits[ends] > digits[starts]
-    for a, b in zip(starts[with_digits], ends[with_digits], strict=True):
+    long = ends - starts >= LEAST_CHARS  # runs may cross a document's end here; that only adds suspects
+    for a, b in zip(starts[long], ends[long], strict=True):
         out[np.searchsorted(offsets, a, side="right") - 1 : np.searchsorted(offsets, b, side="left")] = True
     lower = data.tobytes().translate(_LOWER)
     for word in (*_ASSIGN_WORDS, b"akia"):
