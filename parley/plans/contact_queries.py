@@ -143,16 +143,26 @@ def summary_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.paged(rows, [F.desc("session_count"), F.desc("last_contact"), F.col("manager"), F.col("customer")], 2, 20)
 
 
+def _items_in(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    def key(c: str):
+        return F.lower(F.regexp_replace(c, r"[ \t\n\r\x0b\f,.;:!?]", ""))
+
+    items = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", key("text").alias("item")))
+    return docs.select("doc_id", key("text").alias("key")).join(items, F.contains("key", "item")).select("doc_id", "item_id")
+
+
 @query("""WITH k AS (SELECT item_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM documents WHERE lang = 'en')
 SELECT doc_id, item_id FROM d JOIN k ON contains(d.key, k.key)""")
 def evidence_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that occur in English texts when spaces and marks are left out: a containment join with a bounded list."""
-    def key(c: str):
-        return F.lower(F.regexp_replace(c, r"[ \t\n\r\x0b\f,.;:!?]", ""))
+    return _items_in(spark, sf_dir, table(spark, sf_dir, "documents").where("lang = 'en'"))
 
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", key("text").alias("item")))
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", key("text").alias("key"))
-    return docs.join(items, F.contains("key", "item")).select("doc_id", "item_id")
+
+@query("""WITH k AS (SELECT item_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM documents)
+SELECT doc_id, item_id FROM d JOIN k ON contains(d.key, k.key)""")
+def evidence_in_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the texts of all languages, and of none."""
+    return _items_in(spark, sf_dir, table(spark, sf_dir, "documents"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

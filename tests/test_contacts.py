@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from parley.operators import contacts
+from parley.plans import queries
 from parley.settings import Settings
 
 MSG = "id long, manager string, customer string, from_customer boolean, content string, msg_time timestamp, stat_date date"
@@ -136,3 +137,12 @@ def test_table_of_signals_keeps_its_order(spark):
     rows = contacts.signal_table(spark).orderBy("ord").collect()
     assert rows[0].code == "INV_DEPOSIT" and rows[-1].code == "SVC_PURCHASE_INTENT"
     assert Settings().need_confirm_days == 2
+
+
+def test_evidence_is_found_in_texts_of_every_language(spark, tmp_path):
+    item = "the quick brown fox jumps"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"so: The quick, brown fox jumps! {i}", lang) for i, lang in enumerate(["en", "fr", "de", "es", None])]
+    spark.createDataFrame([*rows, (9, "the quick fox", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["evidence_in_all_texts"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, 1) for i in range(5)]
