@@ -98,7 +98,7 @@ def _suspects(block: B.Block) -> np.ndarray:
     inside = _IN_RUN[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    long = ends - starts >= LEAST_CHARS  # runs may cross a document's end here; that only adds suspects
+    long = ends - starts >= LEAST_CHARS  # those of 32 hex digits too; runs may cross a document's end here, which only adds suspects
     for a, b in zip(starts[long], ends[long], strict=True):
         out[np.searchsorted(offsets, a, side="right") - 1 : np.searchsorted(offsets, b, side="left")] = True
     lower = data.tobytes().translate(_LOWER)
@@ -108,12 +108,6 @@ def _suspects(block: B.Block) -> np.ndarray:
             doc = np.searchsorted(offsets, at, side="right") - 1
             out[doc] = True
             at = lower.find(word, max(at + 1, int(offsets[doc + 1]) - len(word) + 1))  # a word across two documents only adds a suspect
-    hexes = np.zeros(256, bool)
-    hexes[list(b"abcdef")] = True  # runs of 32 letters a-f alone
-    letters = hexes[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], letters, [False]]).astype(np.int8)))
-    for a in edge[::2][edge[1::2] - edge[::2] >= 32]:
-        out[np.searchsorted(offsets, a, side="right") - 1 :][:2] = True
     return out
 
 
