@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from parley.llm import blocks as B
 from parley.llm import simhash
 from parley.llm.graph import components
-from parley.llm.shared import checkpointed, map_texts, new_folder
+from parley.llm.shared import checkpointed, map_texts
 
 SHINGLE = 5
 LEAST = (4, 5)  # a Jaccard similarity of 4/5 and more
@@ -135,12 +135,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A null id sorts behind every other; of rows that repeat the smallest id the first one stays. Decided by row: other
     texts under the id of a copy stay.
     """
-    path = new_folder(docs.sparkSession, "near") + "/rows"
-    docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")).write.parquet(path)
-    rows = docs.sparkSession.read.parquet(path)
-    ids, texts = (rows.select("row", F.col("doc").getField(c).alias(n)) for c, n in ((doc_id, "id"), (text, "text")))
-    label = near_copies(texts)
-    members = label.select(F.col("node").alias("row"), "root").join(ids, "row")
-    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"].alias("first"))
-    gone = members.join(first, "root").where("row != first").select("row")
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+    rows = simhash.numbered(docs)
+    label = near_copies(rows.select("row", F.col("doc").getField(text).alias("text")))
+    return simhash.first_rows(rows, label.select(F.col("node").alias("row"), "root"), doc_id)

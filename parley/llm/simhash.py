@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from parley.llm import blocks as B
 from parley.llm.graph import components, forest
-from parley.llm.shared import checkpointed, map_texts
+from parley.llm.shared import checkpointed, map_texts, new_folder
 
 SEED = 42
 SHINGLE = 3
@@ -245,8 +245,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc struct, row long): the rows of ``docs`` in files of the shared folder, so that their numbers stay."""
+    path = new_folder(docs.sparkSession, "near") + "/rows"
+    docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def first_rows(rows: DataFrame, members: DataFrame, doc_id: str) -> DataFrame:
+    """The documents of ``rows``; of each root's ``members`` (row, root) only the one with the smallest id, null last, then row."""
+    members = members.join(rows.select("row", F.col("doc").getField(doc_id).alias("id")), "row")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"].alias("first"))
+    gone = members.join(first, "root").where("row != first").select("row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, whose id is their component's smallest. Rows that repeat an id go or stay together."""
-    found = near_duplicates(docs, doc_id, text)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    """The rows of ``docs``, whole, that stay: of each component the first row with its smallest id, null last."""
+    rows = numbered(docs)
+    found = near_duplicates(rows.select("row", F.col("doc").getField(text).alias("text")), "row", "text")
+    return first_rows(rows, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), doc_id)

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm import blocks, exact_dedup, graph, kneser_ney, language_id, merges, packing, secrets, sentencepiece_codec, sharding, simhash, toxicity, vector_join
+from parley.llm import blocks, exact_dedup, graph, kneser_ney, language_id, merges, near_copies, packing, secrets, sentencepiece_codec, sharding, simhash, toxicity, vector_join
 from parley.llm.folds import fold, is_held_out
 
 WORDS_PATH, PIECES_PATH = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -375,6 +375,14 @@ def test_simhash_like_brute_force(spark):
     assert kept.columns == docs.columns and kept.where("doc_id <> 2").count() == len(set(want) - {2})
 
 
+def test_near_copies_go_by_row_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, a), (3, b), (3, c), (2, b), (2, b)]
+    for rule in (simhash, near_copies):
+        kept = rule.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((r.text, r.doc_id) for r in kept) == [(a, None), (b, 2), (c, 3)]
+
+
 def test_golay_code_is_perfect_and_keys_meet():
     words = np.arange(1 << 23)
     near = simhash.nearest_codeword(words)
