@@ -13,12 +13,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_POWER = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+#: The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_STRIPE = 32  # from this length on XXH64 works in stripes
+_WORD_SEED = 42
 
 #: Token hashes that no word takes part in: the end of a text and the context before its first word.
 END = np.uint64(0xD1B54A32D192ED03)
@@ -36,31 +40,15 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a + _GOLDEN) ^ (b * _MIX2 + _GOLDEN))
 
 
-def _byte_table() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-
-
 def _lowered() -> np.ndarray:
-    table = _byte_table()
+    table = np.arange(256, dtype=np.uint8)
     table[65:91] = table[97:123]
     return table
 
 
-_LOWER_TABLE = _lowered()
+LOWER = _lowered()
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i below n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("up", _POWER), ("down", pow(_POWER, -1, 1 << 64))):
-            step = np.full(size, base, dtype=np.uint64)
-            step[0] = 1
-            _powers[name] = np.multiply.accumulate(step)
-    return _powers["up"], _powers["down"]
 
 
 @dataclass
@@ -118,19 +106,62 @@ def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def without_space(data: np.ndarray) -> np.ndarray:
+    return data[~_SPACE[data]]
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """(number of each span's bytes among the distinct ones, the distinct ones) of spans that cover ``data``."""
+    offsets = np.append(starts, ends[-1:]) if len(starts) else np.zeros(1, np.int64)
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = array.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def taken(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of consecutive runs of ``values`` with these sizes, the runs that ``codes`` names, one after the other."""
+    width = values.dtype.itemsize
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * width
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    _, at, data = runs.take(pa.array(codes)).buffers()
+    return np.frombuffer(data, values.dtype, int(np.asarray(sizes)[codes].sum())) if data is not None and len(codes) else values[:0]
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, A-Z counted as a-z."""
-    n = len(data)
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _power_tables(n + 1)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_LOWER_TABLE[data] * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
+    """XXH64 of each byte span, A-Z counted as a-z."""
+    lower = np.zeros(len(data) + 8, np.uint8)
+    np.take(LOWER, data, out=lower[: len(data)])
+    sizes = ends - starts
+    h = sizes.astype(np.uint64) + (np.uint64(_WORD_SEED) + _P5)
+    at = starts.astype(np.int64)
+    eight = np.ndarray(len(data) + 1, "<u8", lower, strides=(1,))  # the eight bytes from each place on
+    rest = np.flatnonzero((sizes >= 8) & (sizes < _STRIPE))
+    while len(rest):
+        h[rest] = _rotated(h[rest] ^ (_rotated(eight[at[rest]] * _P2, 31) * _P1), 27) * _P1 + _P4
+        at[rest] += 8
+        rest = rest[ends[rest] - at[rest] >= 8]
+    rest = np.flatnonzero((ends - at >= 4) & (sizes < _STRIPE))
+    if len(rest):
+        four = eight[at[rest]] & np.uint64(0xFFFFFFFF)
+        h[rest] = _rotated(h[rest] ^ (four * _P1), 23) * _P2 + _P3
+        at[rest] += 4
+    rest = np.flatnonzero((at < ends) & (sizes < _STRIPE))
+    while len(rest):
+        h[rest] = _rotated(h[rest] ^ (lower[at[rest]].astype(np.uint64) * _P5), 11) * _P1
+        at[rest] += 1
+        rest = rest[at[rest] < ends[rest]]
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(sizes >= _STRIPE):
+        h[i] = xxhash.xxh64_intdigest(lower[starts[i] : ends[i]], _WORD_SEED)
+    return h
 
 
 def text_hash(text: str) -> int:
     """The hash that span_hashes gives a single word; for tests and lookups by hand."""
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
+    return xxhash.xxh64_intdigest(LOWER[np.frombuffer(text.encode(), np.uint8)], _WORD_SEED)

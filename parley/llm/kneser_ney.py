@@ -10,7 +10,8 @@ bigram one entry per task, so no key is hot, and the shard count follows the siz
 Scoring maps the arrays read-only into the worker and looks sorted queries up in them. Pages of a file map
 belong to the page cache, not to the worker, so the model may be larger than a worker's memory.
 
-A 64-bit hash stands for a word and for a bigram; two of n keys collide with probability n**2 / 2**65.
+XXH64 stands for a word, and a 64-bit hash of two of those for a bigram; of n random words two collide with probability
+n**2 / 2**65. Every hash range has its files, also an empty one: a file that a worker lacks stops the job.
 """
 
 from __future__ import annotations
@@ -143,7 +144,9 @@ def _merge_pairs(folder: str, shards: int):
         for shard, kinds in _gathered(batches).items():
             out = _sliced("word", shards, *_summed(*_columns(kinds.get("word", []), np.uint64, np.uint32)))
             parts = [_unpack(p, np.uint64, np.uint32, np.uint64, np.uint32) for p in kinds.pop("pair", [])]
-            if parts:
+            if not parts:
+                shared.put(f"{folder}/pairs-{shard:08d}", _pack(*(np.empty(0, k) for k in (np.uint64, np.uint8, np.uint64, np.uint64))))
+            else:
                 before = np.concatenate([np.repeat(c, n) for c, n, _, _ in parts])
                 tokens, counts = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
                 del parts
@@ -161,8 +164,7 @@ def _merge_pairs(folder: str, shards: int):
                 word, n = np.unique(tokens, return_counts=True)
                 out += _sliced("contexts", shards, word, n.astype(np.uint32))
                 out.append((shard, "pairs of count", _pack(np.array([(count == k).sum() for k in range(1, 5)], np.int64))))
-            if out:
-                yield _rows(out)
+            yield _rows([*out, (shard, "none", b"")])
 
     return run
 
@@ -204,11 +206,7 @@ _MAPS = 4096
 def _mapped(path: str, kinds: tuple[type, ...]) -> list[np.ndarray]:
     """Arrays of a model file, mapped once in a worker."""
     if path not in _maps:
-        try:
-            data = shared.mapped(path)
-        except FileNotFoundError:  # a hash range in which nothing was counted has no file
-            data = memoryview(_pack(*(np.empty(0, k) for k in kinds)))
-        _maps[path] = _unpack(data, *kinds)
+        _maps[path] = _unpack(shared.mapped(path), *kinds)  # every hash range has a file, so a missing one is a fault
         if len(_maps) > _MAPS:
             _maps.popitem(last=False)
     _maps.move_to_end(path)
@@ -309,7 +307,8 @@ def fit(texts: DataFrame, spans: Spans = B.words, text: str = "text", shard_byte
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = max(1, -(-size // shard_bytes))
     folder = shared.new_folder(spark, "kneser-ney")
-    sent = shared.map_texts(texts, _count(spans, shards, fold_tokens), _SENT_SQL).repartitionById(shards, F.col("shard"))
+    each = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit("none").alias("kind"), F.lit(b"").alias("payload"))  # so that every shard is written
+    sent = shared.map_texts(texts, _count(spans, shards, fold_tokens), _SENT_SQL).union(each).repartitionById(shards, F.col("shard"))
     sent = sent.mapInArrow(_merge_pairs(folder, shards), _SENT_SQL).repartitionById(shards, F.col("shard"))
     rows = sent.mapInArrow(_merge_words(folder, shards), ", ".join(f"{c} long" for c in _STATS))
     found = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first().asDict()
@@ -321,7 +320,7 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
     """Adds to the rows of ``docs`` (columns other than the text and of other names pass through) what the model and the add-one unigram base say.
 
     n_tokens (with the end), n_known (tokens that training has), train_tokens, base_score and score, both log10
-    probabilities of the whole text. An empty or null text has one token, its end.
+    probabilities of the whole text. An empty or null text has one token, its end. Repeated rows score as their texts do.
     """
     added = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     keep = [c for c in docs.columns if c != text and c not in dict(added)]

@@ -1,16 +1,23 @@
 """Merging of adjacent symbols by rank, many words at once.
 
-The agenda of a word holds its adjacent pairs that may merge, by rank. In each round every word takes the best
-pair off its agenda (of equals the leftmost), merges it, and enters the new neighbours. The agendas of all words
-lie in flat arrays, so a round is a few array operations, and a word leaves when its agenda is empty.
+The agenda of a word holds its adjacent pairs that may merge, by rank. Words of usual length are merged side by side:
+in each round every word takes the best pair off its agenda (of equals the leftmost), merges it, and enters the two
+new neighbours. A word lies in a column of a small matrix, so a round is a few array operations for thousands of words,
+and a word leaves when its agenda is empty.
+
+A long word (a text without a space, say) has an agenda of its own, a heap, so that its cost grows as n log n.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 _SHIFT = 24
-_NONE = np.int64(1) << 62
+_NONE = np.int32(np.iinfo(np.int32).max)
+LONG = 48  # symbols from which a word counts as long
+ABREAST = 1 << 13  # words that are merged side by side
 
 
 class MergeTable:
@@ -19,7 +26,10 @@ class MergeTable:
         left, right, rank, merged = np.array(pairs, np.int64).reshape(-1, 4).T
         keys = (left << _SHIFT) | right
         order = np.argsort(keys)
-        self.keys, self.ranks, self.merged = keys[order], rank[order], merged[order]
+        self.keys = keys[order]
+        # Row -1 stands for no pair.
+        self.ranks = np.append(rank[order], _NONE).astype(np.int32)
+        self.merged = np.append(merged[order], -1)
         # Open addressing: a pair lies in the first free place from where its hash points.
         self.bits = max(4, int(len(keys) * 4).bit_length())
         self.at = np.full(1 << self.bits, -1, np.int64)
@@ -32,6 +42,7 @@ class MergeTable:
             todo, place = todo[lost], (place[lost] + 1) & ((1 << self.bits) - 1)
             self.probes += 1
         self.slot_keys = np.where(self.at >= 0, self.keys[self.at], -1) if len(keys) else np.full(1 << self.bits, -1)
+        self.table = dict(zip(self.keys.tolist(), ((self.ranks[:-1].astype(np.int64) << _SHIFT) | self.merged[:-1]).tolist(), strict=True))  # rank and symbol in one
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -40,8 +51,10 @@ class MergeTable:
         """Row of each pair, -1 where there is none. Negative symbols have no pairs."""
         keys = np.where((left >= 0) & (right >= 0), (left << _SHIFT) | right, np.int64(-2))
         place = self._hash(keys)
-        found = np.where(self.slot_keys[place] == keys, self.at[place], -1)
-        open_ = np.flatnonzero((found < 0) & (self.slot_keys[place] != -1) & (keys >= 0))
+        there = self.slot_keys[place]
+        hit = there == keys
+        found = np.where(hit, self.at[place], -1)
+        open_ = np.flatnonzero(~hit & (there != -1) & (keys >= 0))
         for _ in range(self.probes):
             if not len(open_):
                 break
@@ -54,62 +67,117 @@ class MergeTable:
 
     def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of consecutive words of these sizes (over 0), merged as far as they go; and the words' new sizes."""
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        row = np.full(len(symbols), -1, np.int64)  # of the pair that begins here
-        if len(symbols) > 1:
-            row[:-1] = self.find(symbols[:-1], symbols[1:])
-            row[:-1][word[1:] != word[:-1]] = -1
-        rank = np.where(row >= 0, self.ranks[row], _NONE) if len(self.ranks) else np.full(len(symbols), _NONE)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbols):
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            lengths = np.diff(np.append(starts, len(word)))
-            best = np.minimum.reduceat(rank, starts)
-            ended = best == _NONE
-            if ended.any():
-                out = np.repeat(ended, lengths)
-                done.append((word[out], symbols[out]))
-                symbols, word, row, rank = (x[~out] for x in (symbols, word, row, rank))
-                lengths, best = lengths[~ended], best[~ended]
-                if not len(symbols):
-                    break
-            at = np.flatnonzero(rank == np.repeat(best, lengths))
-            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
-            symbols[at] = self.merged[row[at]]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            symbols, word, row, rank = (x[keep] for x in (symbols, word, row, rank))
-            at -= np.arange(len(at))
-            fresh = np.concatenate([at, at[at > 0] - 1])
-            inner = fresh[fresh < len(symbols) - 1]
-            row[fresh] = -1
-            found = self.find(symbols[inner], symbols[inner + 1])
-            row[inner] = np.where(word[inner] == word[inner + 1], found, -1)
-            rank[fresh] = np.where(row[fresh] >= 0, self.ranks[row[fresh]], _NONE)
-        if not done:
-            return symbols, np.zeros(len(sizes), np.int64)
-        word, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        return symbols[order], np.bincount(word, minlength=len(sizes))
+        sizes = np.asarray(sizes, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        out, left = symbols.astype(np.int64), sizes.copy()  # a merged word lies at its start
+        order = np.argsort(sizes, kind="stable")
+        n_long = int((sizes >= LONG).sum())
+        usual, long = order[: len(order) - n_long], order[len(order) - n_long :]
+        at = 0
+        while at < len(usual):
+            room = max(1, min(ABREAST, (ABREAST * 16) // int(sizes[usual[at]])))
+            part = usual[at : at + room]
+            part = part[: max(1, int(np.searchsorted(sizes[part], sizes[part[0]] + 2, side="right")))]
+            at += len(part)
+            if sizes[part[-1]] > 1:
+                self._abreast(out, starts[part], sizes[part], left, part)
+        for k in long.tolist():
+            merged = self._by_heap(out[starts[k] : starts[k] + sizes[k]].tolist())
+            out[starts[k] : starts[k] + len(merged)], left[k] = merged, len(merged)
+        keep = np.arange(len(out)) - np.repeat(starts, sizes) < np.repeat(left, sizes)
+        return out[keep], left
 
+    def _abreast(self, out: np.ndarray, starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, names: np.ndarray) -> None:
+        """Merges words of about the same size in place: column j of each matrix is word j, row i its i-th symbol."""
+        n, rows = len(sizes), int(sizes[-1])
+        row = np.arange(rows)[:, None]
+        inside = row < sizes
+        symbol = np.ascontiguousarray(np.where(inside, out[np.minimum(starts + row, len(out) - 1)], -1), np.int32)
+        pair = np.full((rows, n), -1, np.int32)  # of the symbol and the one that follows it
+        pair[:-1] = self.find(symbol[:-1].ravel().astype(np.int64), symbol[1:].ravel()).reshape(rows - 1, n)
+        rank = np.ascontiguousarray(self.ranks[pair])
+        after = np.ascontiguousarray(np.where(row + 1 < sizes, row + 1, rows), np.int32)  # row of the next symbol, ``rows`` for none
+        ahead = np.broadcast_to((row - 1).astype(np.int32), (rows, n)).copy()  # row of the symbol before, -1 for none
+        all_out = []
+        while n:
+            best = rank.min(axis=0)
+            going = best != _NONE
+            live = int(going.sum())
+            if live < n - n // 3 or not live:
+                done = np.flatnonzero(~going)
+                all_out.append((names[done], starts[done], symbol[:, done]))
+                live = np.flatnonzero(going)
+                names, starts, best = names[live], starts[live], best[live]
+                symbol, pair, rank, after, ahead = (np.ascontiguousarray(x[:, live]) for x in (symbol, pair, rank, after, ahead))
+                n = len(live)
+                if not n:
+                    break
+                column = np.arange(n)
+            else:
+                column = np.flatnonzero(going)
+            at = np.zeros(n, np.int32)
+            for i in range(rows - 2, 0, -1):
+                at[rank[i] == best] = i
+            at[rank[0] == best] = 0
+            at = at[column] * np.int32(n) + column  # places in the matrices, row by row
+            symbols, pairs, ranks, nexts, befores = (x.reshape(-1) for x in (symbol, pair, rank, after, ahead))
+            gone = nexts[at] * np.int64(n) + column
+            own = self.merged[pairs[at]]
+            symbols[at] = own
+            symbols[gone] = -2
+            ranks[gone] = _NONE
+            beyond = nexts[gone]
+            nexts[at] = beyond
+            more = np.flatnonzero(beyond < rows)
+            beyond = beyond[more] * np.int64(n) + column[more]
+            befores[beyond] = (at[more] - column[more]) // n
+            before = befores[at]
+            has = np.flatnonzero(before >= 0)
+            before = before[has] * np.int64(n) + column[has]
+            found = self.find(np.concatenate([own[more], symbols[before].astype(np.int64)]), np.concatenate([symbols[beyond], own[has]]))
+            right = np.full(len(at), -1, np.int64)
+            right[more] = found[: len(more)]
+            pairs[at], ranks[at] = right, self.ranks[right]
+            pairs[before], ranks[before] = found[len(more) :], self.ranks[found[len(more) :]]
+        for who, first, symbol in all_out:
+            if len(who):
+                kept = (symbol != -2) & (np.arange(rows)[:, None] < left[who])
+                count = kept.sum(axis=0)
+                to = np.cumsum(kept, axis=0) - 1 + first
+                out[to[kept]] = symbol[kept]
+                left[who] = count
 
-class TwoGenerations(dict):
-    """A cache of bounded size that keeps what is in use: when the younger half is full it becomes the older one."""
-
-    def __init__(self, half: int):
-        super().__init__()
-        self.half, self.older = half, {}
-
-    def missing(self, keys: set) -> list:
-        """The keys that neither half has. Afterwards, and once these are added, all the keys are in the younger."""
-        if len(self) + len(keys) > self.half:
-            self.older = dict(self)
-            self.clear()
-        out, older = [], self.older
-        for k in keys:
-            if k not in self:
-                if (v := older.get(k)) is not None:
-                    self[k] = v
-                else:
-                    out.append(k)
+    def _by_heap(self, given: list[int]) -> list[int]:
+        """merge() for one word. The heap has rank and place of each pair that may merge, and pairs that are gone since."""
+        n, pair_at, low = len(given), self.table.get, (1 << _SHIFT) - 1
+        symbols = [s if s >= 0 else low for s in given]  # no pair has that symbol
+        unknown = {i: s for i, s in enumerate(given) if s < 0}
+        heap = []
+        for i in range(n - 1):
+            if (p := pair_at((symbols[i] << _SHIFT) | symbols[i + 1])) is not None:
+                heap.append((p >> _SHIFT << 40) | i)
+        heapify(heap)
+        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+        symbols.append(low)  # stands behind the last symbol
+        while heap:
+            top = heappop(heap)
+            i = top & 0xFFFFFFFFFF
+            j = after[i]
+            p = pair_at((symbols[i] << _SHIFT) | symbols[j])
+            if p is None or p >> _SHIFT != top >> 40:
+                continue  # one of the two has merged with another
+            symbols[i] = own = p & low
+            k = after[i] = after[j]
+            symbols[j] = low
+            if k < n:
+                ahead[k] = i
+                if (p := pair_at((own << _SHIFT) | symbols[k])) is not None:
+                    heappush(heap, (p >> _SHIFT << 40) | i)
+            h = ahead[i]
+            if h >= 0 and (p := pair_at((symbols[h] << _SHIFT) | own)) is not None:
+                heappush(heap, (p >> _SHIFT << 40) | h)
+        out, i = [], 0
+        while i < n:
+            out.append(unknown.get(i, symbols[i]) if unknown else symbols[i])
+            i = after[i]
         return out

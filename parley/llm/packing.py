@@ -5,36 +5,43 @@ when it fits nowhere, the fullest window is emitted and a new one opened. What e
 at its end is merged: the leftover windows are themselves packed, best fit, in rounds over fewer and fewer
 tasks, each window moving as a whole. A document over the window is cut: whole windows first, then the rest.
 
-Words between white space are tokenised apart (no token of the vocabulary crosses white space), so a word that
-was seen before costs one lookup. The cache is bounded.
+Words between white space are tokenised apart (no token of the vocabulary crosses white space): each distinct word
+of a block of texts once, and the texts' ids are then taken from those. Nothing is kept from block to block.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import blocks as B
-from parley.llm.merges import MergeTable, TwoGenerations
+from parley.llm.merges import MergeTable
 from parley.llm.shared import checkpointed, map_texts
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
-CACHED_WORDS = 400_000
+TOKEN_BYTES = 8 << 20  # of text whose words are tokenised together
+WORDS_AT_ONCE = 1 << 16
 END_ID = 1
 LEFTOVERS_PER_TASK = 20_000
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+$"
+
+
+_LETTER, _DIGIT, _OTHER = range(3)
+_KINDS = np.full(256, _OTHER, np.uint8)  # of the bytes of lower-cased plain words; those past ASCII belong to letters
+_KINDS[97:123] = _KINDS[128:] = _LETTER
+_KINDS[48:58] = _DIGIT
 
 
 def _byte_chars() -> list[str]:
@@ -45,7 +52,7 @@ def _byte_chars() -> list[str]:
 
 
 class WordTokenizer:
-    """Token ids, as little-endian uint32 bytes, of whole texts by a byte-level BPE tokenizer that works within white-space words.
+    """Token ids of whole texts by a byte-level BPE tokenizer that works within white-space words.
 
     Plain words (ASCII and precomposed Latin letters, on which normalising means lower-casing each character) are
     merged here, many at a time; every other word is given to the library as it is.
@@ -66,37 +73,58 @@ class WordTokenizer:
         chars = _byte_chars()
         self.inner = np.array([vocab[chars[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[chars[b] + end] for b in range(256)], np.int64)
-        self.cache = TwoGenerations(CACHED_WORDS // 2)
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        parts = [[w.lower()] if w.isalpha() else self.split.findall(w.lower()) for w in words]
-        data = [p.encode() for ps in parts for p in ps]
-        sizes = np.array([len(d) for d in data], np.int64)
-        raw = np.frombuffer(b"".join(data), np.uint8)
+    def _merged(self, lower: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-cased plain words, and how many each has."""
+        raw, offsets = B.flat(lower)
+        kind = _KINDS[raw]
+        cut = np.ones(len(raw), bool)  # a part of a word begins here
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        cut[offsets[:-1]] = True
+        for k in np.flatnonzero(pc.match_substring(lower, "'").to_numpy(zero_copy_only=False)):  # 's and the like are parts of their own
+            at, word = offsets[k], raw[offsets[k] : offsets[k + 1]].tobytes().decode()
+            cut[at : offsets[k + 1]] = False
+            cut[at + np.cumsum([0, *(len(p.encode()) for p in self.split.findall(word)[:-1])])] = True
+        starts = np.flatnonzero(cut)
         symbols = self.inner[raw]
-        ends = np.cumsum(sizes) - 1
+        ends = np.append(starts[1:], len(raw)) - 1
         symbols[ends] = self.last[raw[ends]]
-        ids, sizes = self.table.merge(symbols, sizes)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(ps) for ps in parts])])] * 4
-        ids, cuts = ids.astype("<u4").tobytes(), cuts.tolist()
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def learn(self, words: set[bytes]) -> None:
-        missing = self.cache.missing(words)
-        texts = [w.decode(errors="replace") for w in missing]
-        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        if any(plain):
-            self.cache.update(zip([w for w, p in zip(missing, plain, strict=True) if p], self._plain([t for t, p in zip(texts, plain, strict=True) if p]), strict=True))
-        if not all(plain):
-            other = [(w, t) for w, t, p in zip(missing, texts, plain, strict=True) if not p]
-            found = self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)
-            self.cache.update((w, np.array(f.ids, "<u4").tobytes()) for (w, _), f in zip(other, found, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes: at 0x20 and 0x09-0x0D
-        self.learn({w for ws in split for w in ws})
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        ids, sizes = self.table.merge(symbols, ends + 1 - starts)
+        first = np.searchsorted(starts, offsets[:-1])  # part of each word
+        return ids, np.add.reduceat(sizes, first) if len(first) else sizes
+
+    def _some(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        ids, own = self._merged(pc.utf8_lower(words.filter(pa.array(plain))))
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = own
+        if plain.all():
+            return ids, sizes
+        found = [f.ids for f in self.tokenizer.encode_batch(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        sizes[~plain] = [len(f) for f in found]
+        out = np.empty(int(sizes.sum()), np.int64)
+        ours = np.repeat(plain, sizes)
+        out[ours] = ids
+        out[~ours] = [i for f in found for i in f]
+        return out, sizes
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all these words, one after the other, and how many each word has."""
+        try:
+            words = words.cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            words = pa.array([w.decode(errors="replace") for w in words.to_pylist()], pa.large_string())
+        parts = [self._some(words.slice(at, WORDS_AT_ONCE)) for at in range(0, len(words), WORDS_AT_ONCE)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0, np.int64))
+        return ids.astype("<u4"), sizes
+
+    def encode(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (little-endian uint32) of the block's documents, one after the other, and how many each document has."""
+        starts, ends, doc = B.words(block)
+        closed = np.cumsum(ends - starts)  # without white space the words lie end to end
+        codes, words = B.distinct(B.without_space(block.data), closed - (ends - starts), closed)
+        ids, sizes = self.encode_words(words)
+        return B.taken(ids, sizes, codes), np.bincount(doc, sizes[codes], block.n_docs).astype(np.int64)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -164,12 +192,12 @@ def _pack(path: str, window: int, open_windows: int, end_id: int, schema: T.Stru
         id_type = None
         for batch in batches:
             id_type, out = batch.schema.field(0).type, []
-            for block in B.blocks(batch.column(1)):
-                data, cuts = block.data.tobytes(), block.offsets.tolist()
-                ids = words.encode([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-                for doc, own in zip(batch.column(0).slice(block.first, block.n_docs).to_pylist(), ids, strict=True):
-                    own += end
-                    total = len(own) // 4
+            for block in B.blocks(batch.column(1), TOKEN_BYTES):
+                ids, sizes = words.encode(block)
+                ids, at = ids.view(np.uint8).data, 0
+                for doc, size in zip(batch.column(0).slice(block.first, block.n_docs).to_pylist(), sizes.tolist(), strict=True):
+                    own = bytes(ids[at : at + 4 * size]) + end
+                    at, total = at + 4 * size, size + 1
                     for start in range(0, total, window):
                         piece = own[4 * start : 4 * (start + window)]
                         name, offset, done = packer.add(len(piece) // 4)
@@ -210,8 +238,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
 
     Each document's ids and an end id lie in exactly one piece each; a null or empty text is its end id alone.
     Pieces lie in their sequence from offset 0 without a gap, and a sequence holds ``window`` ids at most. Rows
-    that repeat an id, and null ids, are documents like any other. Memory: the open windows of a partition and the
-    word cache; a merging task takes LEFTOVERS_PER_TASK leftover windows of two numbers each.
+    that repeat an id, and null ids, are documents like any other. Memory: the open windows of a partition and a
+    block of TOKEN_BYTES of text; a merging task takes LEFTOVERS_PER_TASK leftover windows of two numbers each.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(_PIECES).fields])

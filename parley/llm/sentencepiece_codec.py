@@ -1,31 +1,48 @@
 """SentencePiece encoding of merge-type (BPE) vocabularies, with a score-ordered agenda of adjacent symbol pairs.
 
 A text is cut where no merge can reach: no piece of the vocabulary has its space mark behind another character,
-so each run of spaces with the characters up to the next space is encoded apart. Each distinct chunk of an
-Arrow batch is encoded once by the agenda and compared with what the sentencepiece library gives for it; a
-difference stops the job. Texts are decoded by the library. The caches of a worker are bounded.
+so each run of spaces with the characters up to the next space is encoded apart. Each distinct chunk of a block of
+an Arrow batch is encoded once by the agenda and compared with what the sentencepiece library gives for it; a
+difference stops the job. The library decodes each text's ids as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import blocks as B
-from parley.llm.merges import MergeTable, TwoGenerations
+from parley.llm.merges import MergeTable
 from parley.llm.shared import map_texts
 
 MARK = "▁"  # what stands for a space in pieces
-CACHED_CHUNKS = 500_000
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+CODE_BYTES = 8 << 20  # of text whose chunks are encoded together
+CHUNKS_AT_ONCE = 1 << 16
+
+
+@dataclass
+class Coded:
+    """Ids and their decimals (each with a comma behind it) of texts, and where each text's end."""
+
+    ids: np.ndarray
+    shown: np.ndarray
+    id_cuts: np.ndarray
+    shown_cuts: np.ndarray
+
+    def ids_of(self, k: int) -> np.ndarray:
+        return self.ids[self.id_cuts[k] : self.id_cuts[k + 1]]
+
+    def shown_of(self, k: int) -> memoryview:
+        return self.shown[self.shown_cuts[k] : max(self.shown_cuts[k], self.shown_cuts[k + 1] - 1)].data
 
 
 class Codec:
@@ -46,7 +63,14 @@ class Codec:
         if lib.normalize("  a \nﬁ") != f"{MARK * 3}a{MARK}\nﬁ":
             raise ValueError("this vocabulary changes texts before it encodes them")
         self.table = self._symbols()
-        self.cache = TwoGenerations(CACHED_CHUNKS // 2)
+        self.of_point = -1 - np.arange(0x110000)  # symbol of each code point; those without one are negative
+        for c, i in self.symbol.items():
+            if len(c) == 1:
+                self.of_point[ord(c)] = i
+        self.of_point[0x20] = self.of_point[ord(MARK)]
+        self.name = {i: c for c, i in self.symbol.items() if i >= size}
+        decimals = [f"{i},".encode() for i in range(size)]
+        self.decimals, self.decimal_sizes = np.frombuffer(b"".join(decimals), np.uint8), np.array([len(d) for d in decimals])
 
     def _symbols(self) -> MergeTable:
         """Symbols: ids of pieces, behind them the characters that occur within pieces without being one."""
@@ -62,49 +86,63 @@ class Codec:
                     pairs.append((a, b, rank[self.score[p]], i))
         return MergeTable(pairs)
 
-    def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
-
     def unpieced(self, char: str) -> list[int]:
         """Ids of a character that is no piece: its bytes, or the unknown id."""
         return [self.byte_id[f"<0x{b:02X}>"] for b in char.encode()] if self.byte_id else [self.unknown]
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Of each chunk, the ids of its pieces when of all adjacent pairs that form a piece the best score merges first, then the leftmost."""
-        chars = "".join(chunks)
-        points = np.frombuffer(chars.encode("utf-32-le"), np.uint32)
-        kinds, of = np.unique(points, return_inverse=True)
-        symbols = np.array([self.symbol.get(chr(c), -1 - int(c)) for c in kinds], np.int64)[of]
-        merged, sizes = self.table.merge(symbols, np.array([len(c) for c in chunks]))
-        out, ids, cuts = [], merged.tolist(), np.cumsum(sizes).tolist()
-        odd = (merged < 0) | (merged >= self.size)
-        odd_words = set(np.repeat(np.arange(len(sizes)), sizes)[odd].tolist())
-        name = {i: c for c, i in self.symbol.items() if i >= self.size} if odd_words else {}
-        for k, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True)):
-            own = ids[a:b]
-            if k in odd_words:
-                own = [x for i in own for x in ([i] if 0 <= i < self.size else self.unpieced(name[i] if i >= 0 else chr(-1 - i)))]
-                if not self.byte_id:  # a run of unknown characters is one unknown id
-                    own = [x for j, x in enumerate(own) if x != self.unknown or not j or own[j - 1] != x]
-            out.append(tuple(own))
-        return out
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes chunks that are new, and holds them against the library."""
-        missing = self.cache.missing(chunks)
-        own = self.encode_chunks(missing) if missing else []
-        theirs = self.library.encode([c[1:].replace(MARK, " ") if len(c) > 1 else "" for c in missing], num_threads=1)
-        for chunk, a, b in zip(missing, own, theirs, strict=True):
-            if len(chunk) > 1 and list(a) != b:
-                raise ValueError(f"the agenda and the sentencepiece library differ on {chunk!r}: {a} {b}")
-            self.cache[chunk] = a, ",".join(map(str, a))
-
-    def encode(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """The encoded chunks of each text: (ids, ids as decimals)."""
-        cut = [self.chunks(t) for t in texts]
-        self.learn({c for cs in cut for c in cs})
-        get = self.cache.__getitem__
-        return [list(map(get, cs)) for cs in cut]
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after the other, and how many each has: of all adjacent pairs that form a piece the best score merges first, then the leftmost."""
+        points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        merged, sizes = self.table.merge(self.of_point[points], np.array([len(c) for c in chunks]))
+        if len(merged) and not ((merged >= 0) & (merged < self.size)).all():
+            kinds, of = np.unique(merged, return_inverse=True)
+            spelt = [[i] if 0 <= i < self.size else self.unpieced(self.name[i] if i >= 0 else chr(-1 - i)) for i in kinds.tolist()]
+            widths = np.array([len(x) for x in spelt])
+            merged, sizes = B.taken(np.array(list(chain.from_iterable(spelt)), np.int64), widths, of), np.add.reduceat(widths[of], np.cumsum(sizes) - sizes)
+            if not self.byte_id:  # a run of unknown characters is one unknown id
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                again = np.zeros(len(merged), bool)
+                again[1:] = (merged[1:] == self.unknown) & (merged[:-1] == self.unknown) & (owner[1:] == owner[:-1])
+                merged, sizes = merged[~again], np.bincount(owner[~again], minlength=len(sizes))
+        return merged, sizes
+
+    def checked(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_chunks of chunks that begin with a space, held against the library."""
+        ids, sizes = self.encode_chunks(chunks)
+        theirs = self.library.encode([c[1:] for c in chunks], num_threads=1)
+        alone = [k for k, c in enumerate(chunks) if c == " "]  # to the library that is an empty text
+        cuts = np.cumsum(sizes)
+        for k in alone:
+            theirs[k] = ids[cuts[k] - sizes[k] : cuts[k]].tolist()
+        flat = np.fromiter(chain.from_iterable(theirs), np.int64)
+        if not np.array_equal(sizes, [len(x) for x in theirs]) or not np.array_equal(ids, flat):
+            wrong = next(c for c, n, x, end in zip(chunks, sizes, theirs, cuts, strict=True) if ids[end - n : end].tolist() != x)
+            raise ValueError(f"the agenda and the sentencepiece library differ on {wrong!r}")
+        return ids, sizes
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.library.decode(ids, return_type=bytes) if len(ids) else b""
+
+    def encode(self, column: pa.Array) -> Coded:
+        """Of one block of texts, without nulls."""
+        column = pc.replace_substring(column, MARK, " ")  # the vocabulary has one mark for both
+        spaced = pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise("", column, " "))
+        data, offsets = B.flat(spaced)
+        space = data == 0x20
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(first)
+        codes, kinds = B.distinct(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts)
+        chunks = [c.decode(errors="replace") for c in kinds.to_pylist()]
+        parts = [self.checked(chunks[at : at + CHUNKS_AT_ONCE]) for at in range(0, len(chunks), CHUNKS_AT_ONCE)]
+        ids, sizes = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
+        doc, n = np.searchsorted(offsets, starts, side="right") - 1, len(column)
+        long = self.decimal_sizes[ids]
+        shown = B.taken(self.decimals, self.decimal_sizes, ids)
+        shown_sizes = np.add.reduceat(long, np.cumsum(sizes) - sizes) if len(sizes) else sizes
+        cuts = [np.concatenate([[0], np.cumsum(np.bincount(doc, x[codes], n))]).astype(np.int64) for x in (sizes, shown_sizes)]
+        return Coded(B.taken(ids.astype(np.int32), sizes, codes), B.taken(shown, shown_sizes, codes), *cuts)
 
 
 _codecs: dict[str, Codec] = {}
@@ -121,36 +159,34 @@ def encode_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", t
 
     Nothing is shuffled: each row's result depends on its text alone, so repeats and null ids need no rule.
     """
-    return _mapped(docs, doc_id, text, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())], model_path, lambda parts, ids, out: [ids, out])
+    def columns(own: Codec, coded: Coded, n: int) -> list[pa.Array]:
+        ids = pa.ListArray.from_arrays(pa.array(coded.id_cuts, pa.int32()), pa.array(coded.ids))
+        return [ids, pa.array([own.decode(coded.ids_of(k)).decode(errors="replace") for k in range(n)], pa.string())]
+
+    return _mapped(docs, doc_id, text, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())], model_path, columns)
 
 
 def encoding_digests(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of what encode_documents gives."""
     added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
-    def digests(parts, ids, out):
-        return [len(ids), hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(out.encode(errors="replace")).hexdigest()]
+    def columns(own: Codec, coded: Coded, n: int) -> list[pa.Array]:
+        sha = hashlib.sha256
+        return [pa.array(np.diff(coded.id_cuts)), pa.array([sha(coded.shown_of(k)).hexdigest() for k in range(n)]), pa.array([sha(own.decode(coded.ids_of(k))).hexdigest() for k in range(n)])]
 
-    return _mapped(docs, doc_id, text, added, model_path, digests)
+    return _mapped(docs, doc_id, text, added, model_path, columns)
 
 
-def _mapped(docs: DataFrame, doc_id: str, text: str, added: list, model_path: str, derive) -> DataFrame:
+def _mapped(docs: DataFrame, doc_id: str, text: str, added: list, model_path: str, columns) -> DataFrame:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         own = codec(model_path)
-        types = [to_arrow_schema(schema).field(n).type for n, _ in added]
         for batch in batches:
-            for block in B.blocks(batch.column("text")):
-                data, cuts = block.data.tobytes(), block.offsets.tolist()
-                rows = []
-                for parts in own.encode([data[a:b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]):
-                    ids = list(chain.from_iterable([p[0] for p in parts]))
-                    rows.append(derive(parts, ids, own.library.decode(ids) if ids else ""))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n_docs), *columns], names=schema.names)
+            texts = pc.fill_null(batch.column("text"), "")
+            for block in B.blocks(texts, CODE_BYTES):
+                coded = own.encode(texts.slice(block.first, block.n_docs))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n_docs), *columns(own, coded, block.n_docs)], names=schema.names)
 
     return map_texts(docs, run, schema)

@@ -1,7 +1,7 @@
 """The folder that driver and executors share, and files in it.
 
-``spark.checkpoint.dir`` names it. Where the session leaves it unset (tests on one machine) a temporary
-folder is made once per session and set as Spark's checkpoint directory.
+``spark.checkpoint.dir`` names it. Where the session leaves it unset and runs on one machine (tests), a temporary
+folder is made once per session and set as Spark's checkpoint directory; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="parley-shared-")
         atexit.register(shutil.rmtree, urlparse(root).path, True)
     if sc.getCheckpointDir() is None:
@@ -32,14 +35,12 @@ BATCH_ROWS = 2000
 
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow for rows with texts: in batches of BATCH_ROWS at most, so that neither side buffers many long texts.
-
-    The session's setting is lowered for that, as plans read it when they run.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow for rows with texts: ``run`` gets batches of BATCH_ROWS at most, whatever the session's setting is."""
+
+    def sliced(batches):
+        return run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(1, batch.num_rows), BATCH_ROWS))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
