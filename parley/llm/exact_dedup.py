@@ -42,9 +42,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=normalised) -> DataFrame:
-    """The rows of ``docs``, whole, that stay: one for each normalised text, also where a row repeats."""
+    """The rows of ``docs``, whole, that stay: one for each normalised text, also where a row repeats.
+
+    The choice is that of exact_duplicates; of rows with the same id and length one stays, by their texts' hash.
+    """
     t, n = normalise(text), F.length(F.coalesce(F.col(text), F.lit("")))
-    order = F.struct(-n, F.col(doc_id).isNull(), F.col(doc_id), F.col(text))
+    order = F.struct(-n, F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(F.col(text)))
     rows = docs.select(t.alias("t"), order.alias("o"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     keys = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(0x5EED), "t").alias("h2")]
     return rows.select("o", "row", "t", *keys).groupBy("h1", "h2", "t").agg(F.min_by("row", "o").alias("row")).select("row.*")

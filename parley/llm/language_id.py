@@ -1,11 +1,13 @@
 """Language identification by n-gram filters: a bit-sliced Bloom filter whose every slot is a bit mask of languages.
 
-An n-gram is four UTF-8 bytes of a lower-cased text, its words set off by single spaces. A language's set holds
-the n-grams that make up at least ``MIN_RATE`` of its training n-grams, so it has 1 / MIN_RATE members at most,
-however large the corpus. All sets lie in one filter: slot i holds, for every language, bit i of that language's
-Bloom filter, so one n-gram's slots, ANDed, give the mask of all languages that contain it. For a text the bits
-of its n-grams are counted by language, and each count is corrected for the filter's own false positive rate in
-that language. The largest corrected share decides; shares of the others set the score against it.
+An n-gram is four UTF-8 bytes of a lower-cased text, its words set off by single spaces. A language contains those
+n-grams whose rate among its training n-grams is at least ``SHARE`` of their highest rate in any language: every n-gram
+has a language, however rare it is, and the strays of texts that mix languages have none. All sets lie in one filter:
+slot i holds, for every language, bit i of that language's Bloom filter, so one n-gram's slots, ANDed, give the mask of
+all languages that contain it. For a text the bits of its n-grams are counted by language, and each count is
+corrected for the filter's own false positive rate in that language. The largest corrected share decides.
+
+The filter is sized by the largest set. What is learned from is a bounded sample, ``MAX_LABELLED`` rows a language.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from parley.llm.folds import is_held_out
 from parley.llm.shared import checkpointed, map_texts
 
 N = 4
-MIN_RATE = 2e-5  # 50,000 n-grams a language at most
-SLOTS = 1 << 20
+SHARE = 0.1
+#: Bound on the rows that a language is learned from; where it has more, they are thinned to about that many by hash.
+MAX_LABELLED = 20_000
+SLOTS_PER_GRAM = 6
+LEAST_SLOTS, MOST_SLOTS = 1 << 14, 1 << 23  # 64 MB for each 64 languages; beyond it false positives rise, and are corrected for
 HASHES = 3
-MOST_LANGUAGES = 640
 UNKNOWN = "und"
 FOLD_GRAMS = 1 << 22
 
@@ -61,10 +65,11 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram[at], np.searchsorted(offsets, at, side="right") - 1  # an n-gram over two texts would have two spaces
 
 
-def slots_of(gram: np.ndarray) -> list[np.ndarray]:
+def slots_of(gram: np.ndarray, slots: int) -> list[np.ndarray]:
+    """slots: a power of two."""
     h = B.mix(gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     step = (h >> np.uint64(40)) | np.uint64(1)
-    return [((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
+    return [((h + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +102,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Filter:
-    """languages, and the slots: uint64 masks, one column for each 64 languages. At most 8 MB a column."""
+    """languages, the one with the most rows, and the slots: uint64 masks, one column for each 64 languages."""
 
     languages: list[str]
+    commonest: int
     slots: np.ndarray
 
     def __post_init__(self) -> None:
@@ -111,7 +117,7 @@ class Filter:
 
     def masks(self, gram: np.ndarray) -> np.ndarray:
         """Of each n-gram, the mask of all languages whose filter has it."""
-        first, *rest = slots_of(gram)
+        first, *rest = slots_of(gram, len(self.slots))
         out = self.slots[first]
         for s in rest:
             out &= self.slots[s]
@@ -130,40 +136,49 @@ class Filter:
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = MIN_RATE) -> Filter:
-    """The filter of all rows of ``docs`` with a language. Counts are folded in the tasks and summed in Spark.
+def containing(counts: DataFrame, totals: DataFrame, share: float = SHARE) -> DataFrame:
+    """(gram, lang) of all languages that contain an n-gram. counts: lang, gram, n; totals: lang, total."""
+    rates = counts.join(totals, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
+    return rates.join(rates.groupBy("gram").agg(F.max("rate").alias("most")), "gram").where(F.col("rate") >= share * F.col("most")).select("gram", "lang")
 
-    To the driver come 1 / min_rate n-grams a language at most. More than MOST_LANGUAGES languages are refused.
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_LABELLED) -> Filter:
+    """The filter of the rows of ``docs`` with a language, of each at most about ``most``. Counts are folded in the tasks and summed in Spark.
+
+    Rows are thinned by their text's hash, so rows that repeat are kept or left together. To the driver come the languages
+    and the bounded sample's distinct n-grams, as numbers.
     """
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    counts = map_texts(rows, _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts)
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = sorted(totals)
-    slots = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64)
-    if languages:
-        least = spark.createDataFrame([(name, n * min_rate) for name, n in totals.items()], "lang string, least double")
-        frequent = counts.join(F.broadcast(least), "lang").where("n >= least").groupBy("lang").agg(F.collect_list("gram").alias("grams"))
-        for r in frequent.toLocalIterator():
-            k = languages.index(r.lang)
-            for s in slots_of(np.array(r.grams, np.int64)):
-                slots[s, k // 64] |= np.uint64(1 << (k % 64))
-    return Filter(languages, slots)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).persist()
+    drawn = F.xxhash64("text", F.lit("language")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    rows = rows.join(sizes, "lang").where(drawn * F.col("rows") < most).select("lang", "text")
+    counts = checkpointed(map_texts(rows, _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    common = {r.lang: r.rows for r in sizes.collect()}
+    sizes.unpersist()
+    languages = sorted(common)
+    found = containing(counts, counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    found = found.groupBy("lang").agg(F.collect_list("gram").alias("grams")).toArrow()
+    members = {name: np.array(grams, np.int64) for name, grams in zip(found["lang"].to_pylist(), found["grams"].to_numpy(), strict=True)}
+    need = SLOTS_PER_GRAM * max((len(g) for g in members.values()), default=0)
+    slots = np.zeros((min(max(LEAST_SLOTS, 1 << max(need - 1, 0).bit_length()), MOST_SLOTS), max(1, -(-len(languages) // 64))), np.uint64)
+    for k, name in enumerate(languages):
+        for s in slots_of(members.get(name, np.empty(0, np.int64)), len(slots)):
+            slots[s, k // 64] |= np.uint64(1 << (k % 64))
+    return Filter(languages, max(range(len(languages)), key=lambda k: (common[languages[k]], -k), default=0), slots)
 
 
 def identify(docs: DataFrame, found: Filter, doc_id: str = "doc_id", text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """(doc_id, *keep, lang_pred, score), one row for each row of ``docs``; only the text is looked at.
 
     ``und`` with score 0 where the text is null or has no letter, and where no language was learned. Else the score
-    is the winner's corrected share among all languages' shares, 0 to 1; ties go to the first name in order.
+    is the winner's corrected share among all languages' shares, 0 to 1; ties go to the first name in order, and a
+    text without any learned n-gram to the language with the most rows, with score 0. Each row is decided by its text
+    alone: repeats are alike, null ids pass through, a very long text is read whole, other columns are not looked at.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *(keep or []), F.col(text).alias("text"))
     names = rows.columns[:-1]
     schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(found)  # 8 MB for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(found)  # 8 bytes a slot for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -177,7 +192,7 @@ def identify(docs: DataFrame, found: Filter, doc_id: str = "doc_id", text: str =
                 if own.languages:
                     shares = own.shares(column)
                     total = shares.sum(axis=1)
-                    best = np.where(letters, shares.argmax(axis=1), best)
+                    best = np.where(letters, np.where(total > 0, shares.argmax(axis=1), own.commonest), best)
                     score = np.where(letters & (total > 0), shares.max(axis=1) / np.maximum(total, 1e-12), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(languages[best], pa.string()), pa.array(score)], names=schema.names)
 

@@ -1,11 +1,17 @@
-"""Near copies by the Jaccard similarity of 5-word shingles: MinHash bands find candidates, whole texts decide.
-
-128 minima in 32 bands of 4 give a text 32 keys, whatever its length. Two texts of Jaccard s share none with
-probability (1 - s**4)**32: below 5e-8 at 0.8. Candidates that share a key are compared by all their shingles, so
-nothing is linked that is below the bound. Texts of one key are first compared with one of them; only those that
-are then still in different components are compared each with each, so a crowd of near copies stays linear.
-
-Fingerprints of simhash within its 2 bits link as well.
+"""SimHash near-copies of texts, verified by the Jaccard similarity of their 5-word shingles.
+
+Candidates come from the operator of simhash (64-bit fingerprints of the shingle sets, Golay-code keys, 2 bits). Those
+alone would find few of the wanted pairs: at a similarity of 0.8 two fingerprints differ in 10 bits on average, and a
+segment key that stands so many errors no longer tells texts apart. So MinHash bands are added: 288 minima in 48
+bands of 6 give a text 48 more keys, whatever its length, and two texts of similarity s share none with probability
+(1 - s**6)**48, below 1e-6 at 0.8.
+
+No list of pairs is made. Rows of one key are tied to one of them, first within a task's batch, so that a frequent key
+costs an exchange one row for each batch. The components of these ties hold every wanted pair. A component is dealt
+out in chunks: the first chunk meets every other one, and each meets itself. What then is still apart in a component
+of several chunks, is chunked anew by what it is linked to: only texts outside its largest group meet all the others.
+Chunks that meet count all their common shingles at once, as a product of matrices; so all links are decided on whole
+texts, none is estimated.
 """
 
 from __future__ import annotations
@@ -14,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import blocks as B
-from parley.llm import simhash
-from parley.llm.graph import components
+from parley.llm import shared, simhash
+from parley.llm.graph import components, forest
 from parley.llm.shared import checkpointed, map_texts
 
 SHINGLE = 5
 LEAST = (4, 5)  # a Jaccard similarity of 4/5 and more
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
+CHUNK_ROWS = 256
+CHUNK_BYTES = 8 << 20
+COLUMNS = 4096  # shingles that a product of matrices takes at a time
 _SEEDS = B.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 _PLACES = B.mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -54,86 +63,162 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, fp, keys, ties): of each key only the first row in a block has it; the others are tied to that row."""
     for batch in batches:
         for block in B.blocks(batch.column(1)):
             hashes, doc = shingles(block)
-            if len(doc):
-                starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                row = batch.column(0).slice(block.first, block.n_docs).to_numpy()[doc[starts]]
-                keys = band_keys(hashes, starts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(row, BANDS))], names=["key", "row"])
-
+            if not len(doc):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            row = batch.column(0).slice(block.first, block.n_docs).to_numpy()[doc[starts]]
+            sizes = np.diff(np.append(starts, len(doc)))
+            keys = band_keys(hashes, starts).ravel()
+            _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+            owner, own = np.repeat(np.arange(len(row)), BANDS), first[of] == np.arange(len(keys))
+            tie = np.unique(np.stack([owner[~own], owner[first[of[~own]]]], 1), axis=0)
+
+            def lists(of_row: np.ndarray, values: np.ndarray) -> pa.Array:
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(of_row, minlength=len(row)))])
+                return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))
+
+            columns = [pa.array(row), pa.array(simhash.majority(hashes, sizes).view(np.int64)), lists(owner[own], keys[own].view(np.int64)), lists(tie[:, 0], row[tie[:, 1]])]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "keys", "ties"])
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, row): (row, first row of its key) of all but the first ones."""
+    key, hub = None, None
+    for batch in batches:
+        if batch.num_rows:
+            keys, rows = (c.to_numpy() for c in batch.columns)
+            first = np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
+            hubs = np.where(at >= 0, rows[at], hub if hub is not None else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[~first]), pa.array(hubs[~first])], names=["a", "b"])
+            key, hub = keys[-1], hubs[-1]
+
+
+def _linked(sets: list[np.ndarray], rows: np.ndarray, side: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among the texts of a block whose sides (0 or 1) meet: all pairs but those within side 0, unless there is no other."""
+    size = np.array([len(s) for s in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = n[column] > 1
+    owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        both += has @ has.T
+    near = (both > 0) & (both * (LEAST[0] + LEAST[1]) >= LEAST[0] * (size[:, None] + size))
+    if side.any():
+        near &= (side[:, None] == 1) | (side == 1)
+    near &= (label[:, None] != label) | (label[:, None] < 0)
+    i, j = np.nonzero(np.triu(near, 1))
+    return forest(rows[i], rows[j])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block (root, block): the links of each. A block's shingles are held, one block at a time."""
+    key, sets, rows, side, label = None, [], [], [], []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if len(sets) > 1:
+            a, b = _linked(sets, np.array(rows), np.array(side), np.array(label))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, sorted by key, whose key is not theirs alone; the last row of a batch waits for the next one."""
-    key, row, tied = np.empty(0, np.int64), np.empty(0, np.int64), False  # tied: the waiting row's key was seen before it
+    for batch in batches:
+        keys = list(zip(batch.column("root").to_pylist(), batch.column("block").to_pylist(), strict=True))
+        columns = [batch.column(c).to_pylist() for c in ("row", "side", "label")]
+        for block in B.blocks(batch.column("text")):
+            hashes, doc = shingles(block)
+            parts = np.split(hashes, np.searchsorted(doc, np.arange(1, block.n_docs)))
+            for k, part in enumerate(parts, block.first):
+                if keys[k] != key:
+                    yield from out()
+                    key, sets, rows, side, label = keys[k], [], [], [], []
+                sets.append(np.unique(part))
+                for held, column in zip((rows, side, label), columns, strict=True):
+                    held.append(column[k])
+    yield from out()
 
-    def out(keep):
-        return pa.RecordBatch.from_arrays([pa.array(key[: len(keep)][keep]), pa.array(row[: len(keep)][keep])], names=["key", "row"])
 
-    for batch in batches:
-        if batch.num_rows:
-            key, row = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([row, batch.column(1).to_numpy()])
-            same = key[1:] == key[:-1]
-            before = np.concatenate([[tied], same])
-            yield out(before[:-1] | same)
-            key, row, tied = key[-1:], row[-1:], bool(before[-1])
-    if len(key) and tied:
-        yield out(np.array([True]))
+def _links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) found where chunks meet. dealt: row, label, root and the blocks (array of block and side) that a row goes to."""
+    some = shared.rows_in(texts, shared.stored_rows(dealt.select("row"), texts))
+    blocks = dealt.join(some, "row").select("row", "label", "root", "text", F.explode("blocks").alias("x"))
+    blocks = blocks.select("root", F.col("x.block").alias("block"), F.col("x.side").alias("side"), "row", "label", "text")
+    blocks = blocks.repartition("root", "block").sortWithinPartitions("root", "block", "side", "row")
+    return checkpointed(map_texts(blocks, _met, "a long, b long"))
 
 
-def _sets(texts: pa.Array) -> list[np.ndarray]:
-    out = []
-    for block in B.blocks(texts):
-        hashes, doc = shingles(block)
-        out += [np.unique(x) for x in np.split(hashes, np.searchsorted(doc, np.arange(1, block.n_docs)))]
-    return out
+def _place(block, side) -> Column:
+    return F.struct(block.cast("long").alias("block"), F.lit(side).cast("long").alias("side"))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(_sets(batch.column("x")), _sets(batch.column("y")), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0])
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _sequence(first, last) -> Column:
+    """The numbers from ``first`` to ``last``, none where that is less."""
+    return F.when(last >= first, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of rows whose texts are near copies."""
-    x, y = (texts.select(F.col("row").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
-    return checkpointed(map_texts(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _verified, "a long, b long"))
+def _chunked(members: DataFrame, by: list[str]) -> DataFrame:
+    """Adds the row's chunk among those with the same ``by``, and how many chunks these have."""
+    n = members.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
+    return members.join(n, by).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")))
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
-    """(node, root) of all rows of ``texts`` (row long, unique; text) that have a near copy; root is one of their component."""
-    found = simhash.near_duplicates(texts, "row", "text")
-    links = checkpointed(found.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-    keyed = texts.where("text IS NOT NULL").select("row", "text")
-    shared = checkpointed(map_texts(keyed, _keyed, "key long, row long").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, row long"))
-    label, seen = components(links), None
-    for star in (True, False):
-        rows = shared.join(label.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-        if star:
-            other = rows.groupBy("key").agg(F.min(F.struct("root", "row")).alias("x")).select("key", F.col("x.root").alias("r"), F.col("x.row").alias("s"))
-        else:
-            mixed = rows.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-            rows = checkpointed(rows.join(mixed, "key"))
-            other = rows.select("key", F.col("root").alias("r"), F.col("row").alias("s"))
-        pairs = rows.join(other, "key").where("r < root").select(F.least("row", "s").alias("a"), F.greatest("row", "s").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(seen, ["a", "b"], "left_anti") if seen is not None else pairs)
-        seen = pairs
-        links = links.union(_linked(pairs, texts))
-        label = components(links)
+    """(node, root) of all rows of ``texts`` (row long, unique, as numbered() gives them; text) that have a near copy; root is one of their component."""
+    marks = shared.written(map_texts(texts.select("row", "text"), _marked, "row long, fp long, keys array<long>, ties array<long>"), "marks")
+    keyed = marks.select(F.explode("keys").alias("key"), "row").repartition("key").sortWithinPartitions("key", "row")
+    ties = marks.select("row", F.explode("ties").alias("b")).toDF("a", "b").union(keyed.mapInArrow(_tied, "a long, b long"))
+    named = marks.groupBy("fp").agg(F.min("row").alias("hub"))
+    of_fp = simhash.links(named.select("fp"))
+    first, second = (named.toDF(n, h) for n, h in (("a", "x"), ("b", "y")))
+    ties = ties.union(marks.select("fp", "row").join(named, "fp").select("row", "hub")).union(of_fp.join(first, "a").join(second, "b").select("x", "y"))
+    tied = components(ties)
+    tied = tied.select(F.col("node").alias("row"), "root").union(tied.select("root", "root").distinct())
+
+    sizes = shared.rows_in(texts.select("row", F.octet_length("text").alias("bytes")), shared.stored_rows(tied.select("row"), texts))
+    members = checkpointed(_chunked(tied.join(sizes, "row"), ["root"]))
+    chunk, others = F.col("chunk"), _sequence(F.lit(1), F.col("chunks") - 1)
+    blocks = F.when(F.col("chunks") == 1, F.array(_place(F.lit(0), 0))).when(chunk == 0, F.concat(F.array(_place(F.lit(0), 1)), F.transform(others, lambda c: _place(c, 0)))).otherwise(F.array(_place(chunk, 1)))
+    links = _links(members.select("row", F.lit(-1).cast("long").alias("label"), "root", blocks.alias("blocks")), texts)
+    label = components(links)
+
+    # Components of several chunks that are not yet one: their largest group, and what is outside it.
+    left = members.where("chunks > 1").select("row", "root", "bytes").join(label.select(F.col("node").alias("row"), F.col("root").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    groups = left.groupBy("root", "label").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    left = left.join(largest, "root").select("row", "root", "bytes", "label", (F.col("label") != F.col("largest")).alias("outside"))
+    left = checkpointed(_chunked(left, ["root", "outside"]))
+    if left.isEmpty():
+        return label.union(label.select("root", "root").distinct())
+    per = left.groupBy("root").agg(F.max(F.when(F.col("outside"), F.col("chunks"))).alias("o"), F.max(F.when(~F.col("outside"), F.col("chunks"))).alias("m"))
+    left = left.join(per, "root")
+    o, m = F.col("o"), F.col("m")
+    # Block (i, j) of outside chunks i <= j, and (i, o + j) of an outside chunk and one of the largest group.
+    wide = o + m
+    as_first = F.transform(_sequence(chunk + 1, wide - 1), lambda j: _place(chunk * wide + j, 0))
+    as_second = F.transform(_sequence(F.lit(0), chunk - 1), lambda i: _place(i * wide + chunk, 1))
+    inner = F.transform(_sequence(F.lit(0), o - 1), lambda i: _place(i * wide + o + chunk, 1))
+    blocks = F.when(F.col("outside"), F.concat(as_first, as_second, F.array(_place(chunk * wide + chunk, 1)))).otherwise(inner)
+    links = links.union(_links(left.select("row", "label", "root", blocks.alias("blocks")), texts))
+    label = components(links)
     return label.union(label.select("root", "root").distinct())
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, without near copies: of each component one row stays, the one with the smallest id.
 
-    A null id sorts behind every other; of rows that repeat the smallest id the first one stays. Decided by row: other
-    texts under the id of a copy stay.
+    Texts link when their sets of 5-word shingles (A-Z as a-z; of fewer words, the whole sequence) have a Jaccard
+    similarity of 0.8 or more; so do repeated texts. Null and blank texts have no shingle and link with nothing. A
+    null id sorts behind every other; of rows that repeat the smallest id the first one stays. Decided by row: other
+    texts under the id of a copy stay. A very long text is read whole, in a block of its own.
     """
     rows = simhash.numbered(docs)
     label = near_copies(rows.select("row", F.col("doc").getField(text).alias("text")))

@@ -60,6 +60,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_sharding, op4_secrets, op5_vector_join, op6_exact_dedup, op7_simhash, op8_language_id, op9_packing, op10_sentencepiece)}
 
 ORACLE_SQL = {
+    "op5_vector_join": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reached AS (
+            SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT vec_id, y FROM reached JOIN links ON x = r
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, min(r) AS component_id, min(r) = e.vec_id AS kept
+        FROM embeddings AS e JOIN reached USING (vec_id) GROUP BY e.vec_id
+    """,
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents

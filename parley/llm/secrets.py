@@ -4,7 +4,8 @@ A byte-pair vocabulary spells ordinary words, even unknown ones, with several ch
 string has few, as hardly any merge applies. Candidates are all unbroken runs of 16 characters and more; known
 digests (hexadecimal of the usual lengths), UUIDs and identifiers (parts that tokenise as words, joined by
 underscores, hyphens, capitals or numbers) are set aside, so that checksums and names are not reported as secrets
-of this kind.
+of this kind; so are paths, whose parts between slashes are all short, dates and numbers, digests or identifiers.
+Random strings of fewer than LEAST_CHARS characters are not told from words by their few tokens and not reported.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_CHARS)
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
+_STAMP = re.compile(r"[0-9TZ_+-]+")
+SHORT = 8  # characters of a path's part that tell nothing
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _IN_RUN = np.zeros(256, bool)
@@ -70,8 +73,11 @@ def is_identifier(run: str, words: Vocabulary) -> bool:
 
 
 def is_known(run: str, words: Vocabulary) -> bool:
-    """Digests, UUIDs and identifiers, which are no secrets however they tokenise."""
-    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) or is_identifier(run, words)
+    """Digests, UUIDs, identifiers and paths of these, which are no secrets however they tokenise."""
+    if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or is_identifier(run, words):
+        return True
+    parts = [p for p in run.split("/") if p]
+    return "/" in run and all(len(p) < SHORT or _STAMP.fullmatch(p) or is_known(p, words) for p in parts)
 
 
 def find_secrets(text: str, words: Vocabulary) -> list[tuple[str, int, int]]:
@@ -130,7 +136,8 @@ def shown(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, vocabulary_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), one row for each row of ``docs``; null texts have no spans.
 
-    Nothing is shuffled: each row's result depends on its text alone, so repeats and null ids need no rule.
+    Nothing is shuffled: each row's result depends on its text alone, so repeats and null ids need no rule. A very long
+    text is searched whole, in a block of its own; other columns are not looked at.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans string").fields])

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm import shared
+
 ROWS_PER_BUCKET = 50_000
 _MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -38,16 +40,16 @@ def jump_shard(key: Column, shards: int) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row for each row of ``docs``.
 
-    The id's hash and the shard count alone decide the shard (null ids share one). Slots count from 0 in each
-    shard without a gap. They come from counts of small hash buckets and numbers within each bucket, so no
-    task sees a whole shard; rows of a repeated id spread over buckets by text, and identical rows may swap slots.
+    The hash of the id's decimal text and the shard count alone decide the shard, whatever type the id has (null ids
+    share one). Slots count from 0 in each shard without a gap. They come from counts of small hash buckets and
+    numbers within each bucket, so no task sees a whole shard; rows that repeat spread over the buckets by a number of
+    their own, and identical rows may swap slots. Null texts have size 1; other columns are not looked at.
     """
-    n = docs.count()
-    per_shard = max(1, -(-n // (shards * ROWS_PER_BUCKET)))
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(F.col(doc_id)).alias("key"))
-    rows = rows.select("*", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(per_shard)))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(F.col(doc_id).cast("string")).alias("key"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).alias("salt"))
+    rows = shared.written(rows.select("*", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard")), "shards")
+    per_shard = max(1, -(-rows.count() // (shards * ROWS_PER_BUCKET)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "text_crc32", "salt"), F.lit(per_shard)))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))

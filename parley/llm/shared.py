@@ -15,7 +15,10 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -114,3 +117,55 @@ def mapped(path: str) -> memoryview:
                 spool.write(chunk)
         spool.flush()
         return memoryview(mmap.mmap(spool.fileno(), 0, prot=mmap.PROT_READ)) if spool.tell() else memoryview(b"")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, cut off from its lineage."""
+    path = f"{new_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: monotonically_increasing_id has the partition in the bits above these.
+_PART = 33
+
+
+def stored_rows(ids: DataFrame, rows: DataFrame) -> str:
+    """Folder with the numbers in ``ids`` (row long), a sorted file for each partition that the numbers of ``rows`` have."""
+    spark = ids.sparkSession
+    last = rows.agg(F.max(F.shiftright("row", _PART))).first()[0]
+    folder = new_folder(spark, "rows")
+    parts = ids.select(F.shiftright("row", _PART).alias("part"), "row").union(spark.range(0 if last is None else last + 1).select("id", F.lit(None).cast("long")))
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            part, row = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            for p in np.unique(part).tolist():
+                held.setdefault(int(p), []).append(row[(part == p) & known].astype(np.int64))
+        for p, found in held.items():
+            put(f"{folder}/{p}", np.unique(np.concatenate(found)).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], names=["n"])
+
+    parts.repartition("part").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def rows_in(rows: DataFrame, folder: str, inside: bool = True) -> DataFrame:
+    """The rows whose number ``row`` is among those of stored_rows(), or those whose number is not. Nothing is shuffled."""
+
+    def run(batches):
+        part, known = None, None
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            keep = np.zeros(len(row), bool)
+            for p in np.unique(row >> _PART).tolist():
+                if p != part:
+                    part, known = p, np.frombuffer(mapped(f"{folder}/{p}"), np.int64)
+                mine = row >> _PART == p
+                at = np.searchsorted(known, row[mine])
+                keep[mine] = (known[np.minimum(at, len(known) - 1)] == row[mine]) if len(known) else False
+            yield batch.filter(pa.array(keep == inside))
+
+    return map_texts(rows, run, rows.schema)

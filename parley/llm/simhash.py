@@ -7,9 +7,10 @@ the perfect binary Golay code: every codeword within distance 4 of it, 1 or 6 of
 is then A's bits with B's 12-bit codeword index, 16 keys a fingerprint on average, and candidates that share
 one are verified by their differing bits.
 
-Within a key no list of pairs is made. Few fingerprints are compared directly. Many are grouped by what one
-flipped bit turns them into: two differ in at most 2 bits exactly when such groups have them in common, and
-the members of a group are linked to its smallest. Equal fingerprints are one node from the start.
+Within a key no list of pairs is made. Fingerprints of a key with few are compared directly. Those of crowded keys
+are grouped, all of them together, by what at most one flipped bit turns them into: two differ in at most 2 bits
+exactly when such groups have them in common. A group has 65 members at most and each is linked to the smallest, so a
+crowded key becomes rows that spread over all tasks. Equal fingerprints are one node from the start.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from pyspark.sql import types as T
 
 from parley.llm import blocks as B
 from parley.llm.graph import components, forest
-from parley.llm.shared import checkpointed, map_texts, new_folder
+from parley.llm.shared import checkpointed, map_texts, rows_in, stored_rows, written
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2  # what the keys are built for
 DIRECT = 32  # fingerprints with a key that are compared one with another
-AT_ONCE = 1 << 16
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
@@ -162,68 +162,60 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], names=["key", "fp"])
 
 
-def _many(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links, through groups of one flipped bit, of all of these that differ in at most 2 bits."""
-    flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
-    parts = -(-len(fp) * 65 // (AT_ONCE * 65))
-    a, b = [], []
-    for p in range(parts):  # of what bits flip into, one share at a time
-        center, who = [], []
-        for at in range(0, len(fp), AT_ONCE):
-            c = fp[at : at + AT_ONCE, None] ^ flips
-            row, col = np.nonzero(B.mix(c) % np.uint64(parts) == p)
-            center.append(c[row, col])
-            who.append(fp[at + row])
-        center, who = np.concatenate(center), np.concatenate(who)
-        order = np.lexsort((who, center))
-        center, who = center[order], who[order]
-        first = np.concatenate([[True], center[1:] != center[:-1]])
-        lowest = who[np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))]
-        a.append(who[lowest != who])
-        b.append(lowest[lowest != who])
-    return np.concatenate(a), np.concatenate(b)
-
-
 def links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links among unsigned fingerprints with equal keys; key is sorted."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    a, b = [], []
-    few = np.repeat(sizes <= DIRECT, sizes)
-    k, f = key[few], fp[few]
+    """A forest of the links among unsigned fingerprints with equal keys; key is sorted, each has DIRECT fingerprints at most."""
+    a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for d in range(1, DIRECT):
-        same = np.flatnonzero(k[d:] == k[:-d])
+        same = np.flatnonzero(key[d:] == key[:-d])
         if not len(same):
             break
-        near = same[np.bitwise_count(f[same] ^ f[same + d]) <= MAX_BITS]
-        a.append(f[near])
-        b.append(f[near + d])
-    for at, n in zip(starts[sizes > DIRECT], sizes[sizes > DIRECT], strict=True):
-        x, y = _many(fp[at : at + n])
-        a.append(x)
-        b.append(y)
-    if not a:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        near = same[np.bitwise_count(fp[same] ^ fp[same + d]) <= MAX_BITS]
+        a.append(fp[near])
+        b.append(fp[near + d])
     return forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last key of a batch waits for the next one."""
+    """Rows come sorted by key; the last key of a batch waits for the next one. (a, b) is a link, (a, null) a fingerprint of a crowded key."""
     key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+    crowded = None  # the waiting key, if it has had more than DIRECT fingerprints
 
-    def out(k, f):
-        a, b = links_of(k, f.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+    def out(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(k):
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            sizes = np.diff(np.append(starts, len(k)))
+            many = np.repeat(sizes > DIRECT, sizes) | (k == crowded if crowded is not None else False)
+            a, b = links_of(k[~many], f[~many].view(np.uint64))
+            lone = np.unique(f[many])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, lone])), pa.concat_arrays([pa.array(b), pa.nulls(len(lone), pa.int64())])], names=["a", "b"])
 
     for batch in batches:
         if batch.num_rows:
             key, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
             done = int(np.searchsorted(key, key[-1]))
-            if done:
-                yield out(key[:done], fp[:done])
-                key, fp = key[done:], fp[done:]
-    if len(key):
-        yield out(key, fp)
+            if not done and len(key) > DIRECT:
+                crowded, done = key[-1], len(key)
+            yield from out(key[:done], fp[:done])
+            key, fp = key[done:], fp[done:]
+    yield from out(key, fp)
+
+
+def _flipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
+    for batch in batches:
+        fp = batch.column(0).to_numpy()
+        centers = (fp.view(np.uint64)[:, None] ^ flips).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(centers.view(np.int64)), pa.array(np.repeat(fp, 65))], names=["center", "fp"])
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of distinct fingerprints (fp long) that connect all those with MAX_BITS or fewer differing bits."""
+    keyed = nodes.select("fp").mapInArrow(_keyed, "key long, fp long")
+    found = checkpointed(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long"))
+    crowd = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct().mapInArrow(_flipped, "center long, fp long")
+    lowest = crowd.groupBy("center").agg(F.collect_set("fp").alias("all"))  # 65 at most
+    crowd = lowest.where(F.size("all") > 1).select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a != b").distinct()
+    return found.where("b IS NOT NULL").union(crowd)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,9 +227,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = checkpointed(fingerprints(docs, doc_id, text))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("lowest"))
-    keyed = nodes.select("fp").mapInArrow(_keyed, "key long, fp long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
-    roots = components(links)
+    roots = components(links(nodes))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     named = nodes.groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = nodes.select("fp", "root").join(named, "root").select("fp", "component_id")
@@ -247,17 +237,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(doc struct, row long): the rows of ``docs`` in files of the shared folder, so that their numbers stay."""
-    path = new_folder(docs.sparkSession, "near") + "/rows"
-    docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "near")
 
 
 def first_rows(rows: DataFrame, members: DataFrame, doc_id: str) -> DataFrame:
     """The documents of ``rows``; of each root's ``members`` (row, root) only the one with the smallest id, null last, then row."""
-    members = members.join(rows.select("row", F.col("doc").getField(doc_id).alias("id")), "row")
+    ids = rows.select("row", F.col("doc").getField(doc_id).alias("id"))
+    members = members.join(rows_in(ids, stored_rows(members.select("row"), rows)), "row")
     first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"].alias("first"))
     gone = members.join(first, "root").where("row != first").select("row")
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+    return rows_in(rows, stored_rows(gone, rows), inside=False).select("doc.*")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

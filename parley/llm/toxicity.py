@@ -156,7 +156,7 @@ class Toxicity:
         out = np.full(len(keys), np.nan)
         shard = K.shard_of(keys, self.shards)
         first = K._runs(shard)
-        for a, b in zip(first, np.append(first[1:], len(keys)), strict=True):
+        for a, b in zip(first, np.append(first, len(keys))[1:], strict=True):
             known, ratio = K._mapped(f"{self.folder}/{kind}-{int(shard[a]):08d}", (np.uint64, np.float64))
             hit, at = K.KneserNey._found(known, keys[a:b])
             out[a:b][hit] = ratio[at]

@@ -8,6 +8,10 @@ plane that bounds q's cell towards home. Each cell then finds, alone, all links
 Equal vectors are one from the start, with a multiplicity. A cell with many vectors is cut into chunks of those at
 home, each of which meets all of the cell's vectors as they stream by; so neither a common vector nor a crowded
 cell makes a large task. Only a forest of each chunk's links leaves it, but all links are counted.
+
+How often a vector is copied depends on the data: in many dimensions without clusters the cells' borders are close to
+everything. So the pivots are the most, of a few numbers tried, with which the vectors of a bounded sample are copied
+``MOST_COPIES`` times on average at most. Fewer pivots cost comparisons within the cells, never links.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ ROWS_PER_PIVOT = 1000
 MOST_PIVOTS = 16_384  # of all labels together: with 64 dimensions, 8 MB that every task gets
 CHUNK = 4096  # vectors at home that a task holds
 STREAM = 2048
+MOST_COPIES = 8
+PROBES = 512  # vectors whose copies are counted
+CELL_NUMBERS = 1 << 20  # distances that a task holds at a time
 _SLACK = 1e-9  # rounding in distances; links themselves are decided on cosines in double precision
 
 
@@ -51,37 +58,62 @@ def _distance(cosines: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosines, 0))
 
 
+def _near(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, cell, whether it is at home there) of unit vectors x and pivots p."""
+    d = _distance(x @ p.T)
+    nearest = d.argmin(axis=1)
+    least = d[np.arange(len(x)), nearest][:, None]
+    near = d <= least + 2 * radius + _SLACK
+    near &= d * d - least * least <= 2 * radius * _distance(p[nearest] @ p.T) + _SLACK
+    near[np.arange(len(x)), nearest] = True
+    row, cell = np.nonzero(near)
+    return row, cell, cell == nearest[row]
+
+
+def chosen_pivots(pivots: dict[tuple, np.ndarray], probes: dict[tuple, np.ndarray], radius: float) -> dict[tuple, np.ndarray]:
+    """The pivots of each label, as many of them (all, a quarter, ...) as copy its probes MOST_COPIES times at most."""
+    out = {}
+    for key, p in pivots.items():
+        x = probes.get(key, p[:0])
+        while len(p) > 1 and len(x) and len(_near(x, p, radius)[0]) > MOST_COPIES * len(x):
+            p = p[: len(p) // 4]
+        if len(p) > 1:
+            out[key] = p
+    return out
+
+
 def _cells(pivots: dict[tuple, np.ndarray], radius: float):
     """Rows (class, cell, home): where each vector is at home and where it is copied to."""
+    slice_rows = max(16, min([STREAM, *(CELL_NUMBERS // len(p) for p in pivots.values())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        between = {k: _distance(p @ p.T) for k, p in pivots.items() if len(p) <= 2048}
         for batch in batches:
-            for at in range(0, batch.num_rows, STREAM):
-                for n, part in _by_size(batch.slice(at, STREAM), "vector"):
+            for at in range(0, batch.num_rows, slice_rows):
+                for n, part in _by_size(batch.slice(at, slice_rows), "vector"):
                     labels = np.array(part.column("label").to_pylist(), object)
                     for label in set(labels.tolist()):
                         rows = np.flatnonzero(labels == label)
                         own = part.take(pa.array(rows))
-                        key = (label, n)
-                        x, p = _unit(own.column("vector")), pivots.get(key)
+                        p = pivots.get((label, n))
                         if p is None:
                             row, cell, home = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
                         else:
-                            d = _distance(x @ p.T)
-                            nearest = d.argmin(axis=1)
-                            least = d[np.arange(len(rows)), nearest][:, None]
-                            apart = between[key][nearest] if key in between else _distance(p[nearest] @ p.T)
-                            near = (d <= least + 2 * radius + _SLACK) & (d * d - least * least <= 2 * radius * apart + _SLACK)
-                            near[np.arange(len(rows)), nearest] = True
-                            row, cell = np.nonzero(near)
-                            home = cell == nearest[row]
+                            row, cell, home = _near(_unit(own.column("vector")), p, radius)
                         taken = own.take(pa.array(row))
                         yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(np.full(len(row), n, np.int32)), pa.array(cell.astype(np.int64)), pa.array(home), taken.column("class"), taken.column("copies"), taken.column("vector")], names=["label", "size", "cell", "home", "class", "copies", "vector"])
 
     return run
 
 
+def _runs(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[int]:
+    """Where rows begin that differ from the row before in one of these columns, and the end."""
+    fresh = np.zeros(batch.num_rows - 1, bool)
+    for name in names:
+        column = batch.column(name)
+        fresh |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(fresh) + 1).tolist(), batch.num_rows]
+
+
 def _links(cosine: float):
     """Of each chunk of a cell: (class, weight of its links, null), and its links' forest as (class, null, other class)."""
 
@@ -96,16 +128,15 @@ def _links(cosine: float):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(v)], names=["class", "n", "other"])
 
         for batch in batches:  # sorted by chunk; those at home come first
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "size", "cell", "chunk", "role")), strict=True))
-            start = 0
-            while start < len(keys):
-                stop = start
-                while stop < len(keys) and keys[stop] == keys[start] and stop - start < STREAM:
-                    stop += 1
-                part, role = batch.slice(start, stop - start), keys[start][4]
-                if keys[start][:4] != key:
+            if not batch.num_rows:
+                continue
+            cuts = _runs(batch, ("label", "size", "cell", "chunk", "role"))
+            for start, stop in ((at, min(at + STREAM, last)) for first, last in zip(cuts[:-1], cuts[1:], strict=True) for at in range(first, last, STREAM)):
+                *own, role = (batch.column(c)[start].as_py() for c in ("label", "size", "cell", "chunk", "role"))
+                part = batch.slice(start, stop - start)
+                if own != key:
                     yield from out()
-                    key, held, x, classes, count, a, b = keys[start][:4], [], None, None, None, [], []
+                    key, held, x, classes, count, a, b = own, [], None, None, None, [], []
                 if role == 0:
                     held.append((part.column("class").to_numpy(), _unit(part.column("vector"))))
                 elif held or x is not None:
@@ -123,7 +154,6 @@ def _links(cosine: float):
                         if len(a) > 64:
                             u, v = forest(np.concatenate(a), np.concatenate(b))
                             a, b = [u], [v]
-                start = stop
         yield from out()
 
     return run
@@ -149,15 +179,21 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: s
 
     total = classes.count()
     target = min(MOST_PIVOTS, total // ROWS_PER_PIVOT)
-    pivots: dict[tuple, list] = {}
-    if target:  # a fixed share of the vectors by hash: target on average, and never more than twice that
-        span = int(target / total * (1 << 63))
-        drawn = classes.where(F.xxhash64("hash").bitwiseAND((1 << 63) - 1) < span).select("label", "vector").limit(2 * target)
-        for r in drawn.toLocalIterator():
-            pivots.setdefault((r.label, len(r.vector)), []).append(r.vector)
-    pivots = {k: np.array([np.array(x, np.float64) / np.linalg.norm(np.array(x, np.float64)) for x in p]) for k, p in pivots.items()}
+    def drawn(least: float, most: float, limit: int) -> dict[tuple, np.ndarray]:
+        """Unit vectors whose hash lies in a share of its range, by label and size."""
+        own = F.xxhash64("hash").bitwiseAND((1 << 53) - 1)
+        found: dict[tuple, list] = {}
+        for r in classes.where((own >= int(least * (1 << 53))) & (own < int(most * (1 << 53)))).select("label", "vector").limit(limit).toLocalIterator():
+            v = np.array(r.vector, np.float64)
+            v = v / np.abs(v).max()
+            found.setdefault((r.label, len(v)), []).append(v / np.linalg.norm(v))
+        return {k: np.array(p) for k, p in found.items()}
 
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
+    pivots: dict[tuple, np.ndarray] = {}
+    if target:  # about ``target`` pivots, never more than twice that, and other vectors as probes
+        share = target / total
+        pivots = chosen_pivots(drawn(0, share, 2 * target), drawn(share, min(1.0, share + PROBES / total), 2 * PROBES), radius)
     kind = classes.schema["vector"].dataType
     schema = T.StructType([*T._parse_datatype_string("label string, size int, cell long, home boolean, class long, copies long").fields, T.StructField("vector", kind)])
     members = classes.select("label", "class", "copies", "vector").mapInArrow(_cells(pivots, radius), schema)

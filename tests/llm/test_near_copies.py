@@ -3,6 +3,7 @@
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from parley.llm import blocks, near_copies
 
@@ -23,7 +24,9 @@ def edited(rng, words, n):
     return words
 
 
-def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark, sf):
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark, sf, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK_ROWS", chunk)
     rng = np.random.default_rng(3)
     texts = []
     for _ in range(40):
@@ -45,7 +48,9 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark, sf):
 
 def test_shingles_like_sets():
     texts = ["", "a", "A b c d", "a b c d e", "a B c d e f  a b c d e", "x", None, " \n", "e d c b a", "a b c d e"]
-    got = near_copies._sets(pa.array(texts))
+    block = next(blocks.blocks(pa.array(texts, pa.string())))
+    hashes, doc = near_copies.shingles(block)
+    got = [np.unique(x) for x in np.split(hashes, np.searchsorted(doc, np.arange(1, block.n_docs)))]
     want = [plain_shingles(t) if (t or "").strip() else set() for t in texts]
     assert [len(x) for x in got] == [len(x) for x in want]
     for x, a in zip(got, want, strict=True):

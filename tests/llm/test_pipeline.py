@@ -12,7 +12,7 @@ from oracle import compare
 from tokenizers import Tokenizer
 
 from parley.llm import queries, secrets, toxicity
-from test_operators import brute_components, plain_fingerprint
+from test_near_copies import jaccard, plain_shingles
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -42,7 +42,13 @@ def test_pipeline_like_its_plain_version(spark, sf):
         key = re.sub("[\x20\x09-\x0d]", "", t)
         best[key] = min(best.get(key, (1, 0, "")), (-len(t), i, t))
     rows = sorted((i, t) for _, i, t in best.values())
-    label = brute_components([i for i, _ in rows], [plain_fingerprint(t) for _, t in rows])
+    sets = [plain_shingles(t) if t.split() else set() for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    label, before = [i for i, _ in rows], None
+    while label != before:
+        before = list(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
     rows = [(i, t) for (i, t), c in zip(rows, label, strict=True) if i == c]
     words = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
