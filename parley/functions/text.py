@@ -20,9 +20,11 @@ HAN = r"[一-鿿]"
 
 
 def mask_pii(text: Column) -> Column:
+    """What counts as personal data is masked. It has eleven digits in a row or an @; other texts are not searched further."""
+    masked = text
     for pattern, mask in MASKS:
-        text = F.regexp_replace(text, pattern, mask)
-    return text
+        masked = F.regexp_replace(masked, pattern, mask)
+    return F.when(F.contains(text, F.lit("@")) | text.rlike(r"(?U)\d{11}"), masked).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -85,7 +87,11 @@ def window_label(days: int) -> str:
     return "近1个月" if days == 30 else f"近{days}天"
 
 
+# Fixed value: the units that make a number a quantity.
+QUANTITY = r"\d+(?:\.\d+)?\s*(?:%|％|万|元|亿)"
+
+
 def numbers_in(text: Column) -> Column:
     """Quantities with a unit, without white space."""
-    found = F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?\s*(?:%|％|万|元|亿)"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0))
     return F.transform(found, without_space)

@@ -123,7 +123,7 @@ def parsed_notes(answers: DataFrame, transcripts: DataFrame, codes: DataFrame, s
     notes = days.select(*keys, "stat_date", *(items(c) for c in LIST_LIMITS))
     signals = days.select(*keys, "stat_date", "text", F.posexplode("d.signals").alias("no", "x"))
     signals = signals.select(*keys, "stat_date", "text", "no", F.upper(F.trim("x.code")).alias("code"), F.lower(F.trim("x.status")).alias("status"), F.substring(F.regexp_replace(F.trim(F.coalesce("x.evidence", F.lit(""))), "^[“”\"'「」 ]+|[“”\"'「」 ]+$", ""), 1, s.evidence_chars).alias("evidence"))
-    signals = signals.join(F.broadcast(codes.select("code")), "code", "left_semi").where(F.col("status").isin("open", "closed"))
+    signals = signals.join(codes.select("code"), "code", "left_semi").where(F.col("status").isin("open", "closed"))
     first = Window.partitionBy(*keys, "stat_date", "code").orderBy("no")
     signals = signals.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     order = Window.partitionBy(*keys, "stat_date").orderBy("no")
@@ -138,7 +138,7 @@ def signal_timeline(events: DataFrame, codes: DataFrame, keys: Sequence[str] = P
 
     ``events``: keys, event_id, code, status, event_date, evidence. A need counts as confirmed from two open days on.
     """
-    rows = events.join(F.broadcast(codes), "code")
+    rows = events.join(codes, "code")
     last = F.struct("event_date", "event_id")
     opened = F.when(F.col("status") == "open", F.col("event_date"))
     out = rows.groupBy(*keys, "code", "name", "category", "group", "ord").agg(

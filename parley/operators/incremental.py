@@ -55,10 +55,10 @@ def expire_partitions(spark: SparkSession, path: str, column: str, before: str)
     return sorted(old)
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``old`` with ``new``'s rows in place of those with the same keys; of repeated new keys one stays."""
+def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
+    """``old`` with ``new``'s rows in place of those with the same keys; of repeated new keys the first by ``order`` stays."""
     both = old.withColumn("_at", F.lit(0)).unionByName(new.withColumn("_at", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc("_at"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), *order)
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_at", "_n")
 
 

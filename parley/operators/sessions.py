@@ -59,16 +59,24 @@ def aggregate_sessions(messages: DataFrame, keys: Sequence[str], time: str = "ms
     return out
 
 
-def day_stats(messages: DataFrame, keys: Sequence[str] = ("manager", "customer"), s: Settings = DEFAULTS) -> DataFrame:
+def day_stats(messages: DataFrame, keys: Sequence[str] = ("manager", "customer"), s: Settings = DEFAULTS, before: DataFrame | None = None) -> DataFrame:
     """One row for each pair and day. A session that began the day before is not counted, nor who began it.
 
-    Only the calendar day before carries a session over, as a gap of minutes implies.
+    Only the calendar day before carries a session over, as a gap of minutes implies. Where ``messages`` begin with a
+    day, ``before`` (keys, last_msg_time: stored statistics of earlier days) says when each pair last spoke.
+    source_fp: SHA-256 of the day's lines, each its time in microseconds, id, side and the MD5 of its content.
     """
+    if before is not None:
+        last = before.groupBy(*keys).agg(F.max("last_msg_time").alias("_before"))
+        messages = messages.join(last, list(keys), "left")
     w = Window.partitionBy(*keys).orderBy("msg_time", "id")
-    gap = F.col("msg_time") - F.lag("msg_time").over(w) > F.expr(f"INTERVAL {s.session_gap_minutes} MINUTES")
-    begins = F.lag("msg_time").over(w).isNull() | gap
+    previous = F.lag("msg_time").over(w)
+    if before is not None:
+        previous = F.coalesce(previous, F.when(F.col("_before") <= F.col("msg_time"), F.col("_before")))
+    begins = previous.isNull() | (F.col("msg_time") - previous > F.expr(f"INTERVAL {s.session_gap_minutes} MINUTES"))
     marked = messages.withColumn("_begins", begins).withColumn("stat_date", F.to_date("msg_time"))
-    content = F.array_sort(F.collect_list(F.struct("msg_time", "id", "from_customer", "content")))
+    line = F.concat_ws(":", F.unix_micros(F.col("msg_time").cast("timestamp")).cast("string"), F.col("id").cast("string"), F.col("from_customer").cast("int").cast("string"), F.md5("content"))
+    lines = F.array_sort(F.collect_list(F.struct("msg_time", "id", line.alias("line"))))
     return marked.groupBy(*keys, "stat_date").agg(
         F.count("*").alias("msg_count"),
         F.count_if("from_customer").alias("customer_msg_count"),
@@ -77,7 +85,7 @@ def day_stats(messages: DataFrame, keys: Sequence[str] = ("manager", "customer")
         F.count_if(F.col("_begins") & F.col("from_customer")).alias("customer_initiated"),
         F.min("msg_time").alias("first_msg_time"),
         F.max("msg_time").alias("last_msg_time"),
-        F.sha2(F.to_json(content), 256).alias("source_fp"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("source_fp"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import contacts, incremental, sessions
+from parley.operators import contacts, incremental, sessions, topics
 from parley.plans.hotspot_queries import MESSAGES
 from parley.plans.registry import query
 from parley.settings import Settings
@@ -17,7 +17,8 @@ DAYS = f"""WITH {MESSAGES}, b AS (
 ), f AS (SELECT *, prev IS NULL OR msg_time - prev > INTERVAL 30 MINUTE AS begins FROM b
 ), st AS (
     SELECT manager, customer, stat_date, count(*) AS msg_count, count(*) FILTER (from_customer) AS customer_msg_count, count(*) FILTER (NOT from_customer) AS manager_msg_count,
-    count(*) FILTER (begins) AS session_count, count(*) FILTER (begins AND from_customer) AS customer_initiated, min(msg_time) AS first_msg_time, max(msg_time) AS last_msg_time FROM f GROUP BY 1, 2, 3
+    count(*) FILTER (begins) AS session_count, count(*) FILTER (begins AND from_customer) AS customer_initiated, min(msg_time) AS first_msg_time, max(msg_time) AS last_msg_time,
+    sha256(string_agg(epoch_us(msg_time) || ':' || id || ':' || CAST(from_customer AS INTEGER) || ':' || md5(content), chr(10) ORDER BY msg_time, id)) AS source_fp FROM f GROUP BY 1, 2, 3
 )"""
 EVENTS = """md AS (SELECT median(value) AS mid FROM events), ev AS (
     SELECT event_id, user_id % 10 AS manager, user_id AS customer, event_type AS code, CASE WHEN value >= mid THEN 'open' ELSE 'closed' END AS status, CAST(ts AS DATE) AS event_date, props AS evidence, event_id % 5 <> 0 AS verified, user_id * 1000 + day(ts) AS note_id
@@ -57,7 +58,7 @@ def _codes(spark: SparkSession) -> DataFrame:
 
 @query(f"{DAYS} SELECT * FROM st")
 def pair_day_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir).drop("source_fp")
+    return _stats(spark, sf_dir)
 
 
 @query(f"{DAYS} SELECT manager, customer, CAST(sum(session_count) AS BIGINT) AS session_count, CAST(sum(customer_initiated) AS BIGINT) AS customer_initiated, count(*) AS active_days, CAST(sum(msg_count) AS BIGINT) AS msg_count, CAST(max(last_msg_time) AS DATE) AS last_contact FROM st WHERE stat_date BETWEEN DATE '2024-01-25' - 29 AND DATE '2024-01-25' GROUP BY 1, 2")
@@ -91,15 +92,22 @@ def transcript_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.fitted_lines(rows, text.estimate_tokens(F.col("text")) + 1, 120, keys=["conv_id"], order="turn").select("conv_id", "turn", "used")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DAYS[5:]}, n AS (SELECT manager, customer, stat_date, msg_count * 100 AS tokens, row_number() OVER (PARTITION BY manager, customer ORDER BY stat_date) AS k FROM st),
+    g AS (SELECT manager, customer, stat_date, tokens, k, CAST(1 AS BIGINT) AS batch, tokens AS used FROM n WHERE k = 1
+    UNION ALL SELECT n.manager, n.customer, n.stat_date, n.tokens, n.k, CASE WHEN g.used > 0 AND g.used + n.tokens > 500 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.used > 0 AND g.used + n.tokens > 500 THEN n.tokens ELSE g.used + n.tokens END
+    FROM g JOIN n ON n.manager = g.manager AND n.customer = g.customer AND n.k = g.k + 1)
+    SELECT manager, customer, stat_date, tokens, batch FROM g""")
 def packed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of a pair in batches within a budget, greedily in order."""
     return contacts.packed_days(_stats(spark, sf_dir).withColumn("tokens", F.col("msg_count") * 100), 500)
 
 
-@query(f"WITH {EVENTS}, {CODES}, x AS (SELECT ev.*, cd.* EXCLUDE (code) FROM ev JOIN cd USING (code)) SELECT manager, customer, code, name, category, \"group\", ord, arg_max(status, event_date - DATE '2000-01-01' + event_id / 1e12) AS status, min(event_date) AS first_date, max(event_date) AS last_date, count(DISTINCT event_date) FILTER (status = 'open') AS open_days FROM x GROUP BY ALL")
+@query(f"""WITH {EVENTS}, {CODES}, x AS (SELECT ev.*, cd.* EXCLUDE (code), row_number() OVER (PARTITION BY manager, customer, code ORDER BY event_date DESC, event_id DESC) AS back FROM ev JOIN cd USING (code)),
+    t AS (SELECT manager, customer, code, name, category, "group", ord, max(status) FILTER (back = 1) AS status, min(event_date) AS first_date, max(event_date) AS last_date, count(DISTINCT event_date) FILTER (status = 'open') AS open_days,
+    min(event_date) FILTER (status = 'open') AS opened, max(evidence) FILTER (back = 1) AS evidence FROM x GROUP BY ALL)
+    SELECT * EXCLUDE (opened), CASE WHEN status = 'closed' THEN opened END AS first_open_date, CASE WHEN category = 'need' THEN open_days >= 2 END AS confirmed, CASE WHEN status = 'closed' THEN last_date END AS closed_date FROM t""")
 def signal_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contacts.signal_timeline(_events(spark, sf_dir), _codes(spark)).drop("first_open_date", "evidence", "confirmed", "closed_date")
+    return contacts.signal_timeline(_events(spark, sf_dir), _codes(spark))
 
 
 @query(f"WITH {EVENTS}, cl AS (SELECT manager, customer, code, max(epoch(event_date) * 1000000 + event_id) AS closed_at FROM ev WHERE status = 'closed' GROUP BY 1, 2, 3) SELECT manager, customer, code, min(event_date) AS since FROM ev LEFT JOIN cl USING (manager, customer, code) WHERE status = 'open' AND (closed_at IS NULL OR epoch(event_date) * 1000000 + event_id > closed_at) GROUP BY 1, 2, 3")
@@ -143,26 +151,22 @@ def summary_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.paged(rows, [F.desc("session_count"), F.desc("last_contact"), F.col("manager"), F.col("customer")], 2, 20)
 
 
-def _items_in(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    def key(c: str):
-        return F.lower(F.regexp_replace(c, r"[ \t\n\r\x0b\f,.;:!?]", ""))
-
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", key("text").alias("item")))
-    return docs.select("doc_id", key("text").alias("key")).join(items, F.contains("key", "item")).select("doc_id", "item_id")
+_KEY = r"""regexp_replace(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\[\]【】（）()“”"''‘’「」《》<>，。、；：！？,.;:!?…·~～-]', '', 'g')"""
 
 
-@query("""WITH k AS (SELECT item_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM documents WHERE lang = 'en')
-SELECT doc_id, item_id FROM d JOIN k ON contains(d.key, k.key)""")
+@query(f"WITH k AS (SELECT item_id, {_KEY} AS key FROM benchmark), d AS (SELECT doc_id, {_KEY} AS key FROM documents) SELECT doc_id, item_id FROM d JOIN k ON k.key <> '' AND contains(d.key, k.key)")
 def evidence_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items that occur in English texts when spaces and marks are left out: a containment join with a bounded list."""
-    return _items_in(spark, sf_dir, table(spark, sf_dir, "documents").where("lang = 'en'"))
+    """Benchmark items that are evidenced by a text, of any language: spaces and marks left out, as evidence of notes is checked."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.evidence_key(F.col("text")).alias("item")).where("item <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.evidence_key(F.col("text")).alias("key"))
+    return docs.join(items, F.contains("key", "item")).select("doc_id", "item_id")
 
 
-@query("""WITH k AS (SELECT item_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f,.;:!?]', '', 'g')) AS key FROM documents)
-SELECT doc_id, item_id FROM d JOIN k ON contains(d.key, k.key)""")
-def evidence_in_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the texts of all languages, and of none."""
-    return _items_in(spark, sf_dir, table(spark, sf_dir, "documents"))
+@query(f"WITH {EVENTS} SELECT a.event_id, b.user_id % 100 AS source, {_KEY.replace('text', 'evidence')} <> '' AND contains({_KEY.replace('text', 'b.props')}, {_KEY.replace('text', 'evidence')}) AS verified FROM ev a JOIN events b ON b.event_id = a.event_id + 1")
+def verified_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an event's text is evidenced by that of the next one."""
+    e, after = _events(spark, sf_dir), table(spark, sf_dir, "events").select((F.col("event_id") - 1).alias("event_id"), F.col("props").alias("source_text"), (F.col("user_id") % 100).alias("source"))
+    return e.join(after, "event_id").select("event_id", "source", text.is_evidenced(F.col("evidence"), F.col("source_text")).alias("verified"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -179,12 +183,12 @@ def limiter_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.trailing_load(e, ["user_id"], "ts", F.length("props"), 10.5, 60).select("event_id", "calls_in_window", "weight_in_window")
 
 
-@query(f"WITH {MESSAGES} SELECT manager, customer, CAST(msg_time AS DATE) AS stat_date, md5(string_agg(id || ':' || from_customer || ':' || content, '|' ORDER BY msg_time, id)) AS fp FROM m GROUP BY 1, 2, 3")
-def day_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of pair-days in a form that both engines can spell."""
-    rows = event_messages(spark, sf_dir).withColumn("line", F.concat_ws(":", F.col("id").cast("string"), F.col("from_customer").cast("string"), F.col("content")))
-    lines = F.array_sort(F.collect_list(F.struct("msg_time", "id", "line")))
-    return rows.groupBy("manager", "customer", F.to_date("msg_time").alias("stat_date")).agg(F.md5(F.array_join(F.transform(lines, lambda x: x["line"]), "|")).alias("fp"))
+@query(f"{DAYS} SELECT manager, customer, stat_date, msg_count, session_count, customer_initiated FROM st WHERE stat_date >= DATE '2024-01-16'")
+def carried_day_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the month alone, with sessions carried over from the stored statistics of the first."""
+    rows, at = event_messages(spark, sf_dir), F.to_date("msg_time") >= F.to_date(F.lit("2024-01-16"))
+    stored = sessions.day_stats(rows.where(~at)).select("manager", "customer", "last_msg_time")
+    return sessions.day_stats(rows.where(at), before=stored).select("manager", "customer", "stat_date", "msg_count", "session_count", "customer_initiated")
 
 
 @query("SELECT substr(md5(string_agg(word, chr(10) ORDER BY word)), 1, 16) AS fingerprint FROM (SELECT DISTINCT n_name AS word FROM nation)")
@@ -204,8 +208,9 @@ def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's latest event, by upserting the second half of the month over the first."""
     e = table(spark, sf_dir, "events")
-    last = e.groupBy("user_id", (F.dayofmonth("ts") > 15).alias("late")).agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "late", "x.*")
-    return incremental.upserted(last.where("NOT late").drop("late"), last.where("late").drop("late"), ["user_id"])
+    rows = e.select("user_id", "event_id", "event_type", "value", "ts")
+    first = topics.dedupe_first(rows.where(F.dayofmonth("ts") <= 15), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    return incremental.upserted(first, rows.where(F.dayofmonth("ts") > 15), ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
 
 
 @query("SELECT doc_id, md5(text) AS source_fp FROM documents WHERE doc_id % 3 = 0 OR source = 'src2'")
@@ -224,12 +229,38 @@ def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.coalesce("answer", F.lit(0))).alias("answers"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, length(text) AS n, text LIKE '%1%' AS digit FROM documents)
-SELECT doc_id, n > 360 AS too_long, n < 100 AS too_short, regexp_matches(text, '(^|[^A-Za-z0-9])[A-Z]+_[A-Z_]+($|[^A-Za-z0-9])') AS coded FROM s""")
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(left(text, 40 + doc_id % 400), '[\\s\\x{0b}\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g')) AS t, doc_id % 5 AS days FROM documents),
+b AS (SELECT *, CASE WHEN days <= 1 THEN 50 WHEN days <= 3 THEN 80 ELSE 100 END AS low, CASE WHEN days <= 1 THEN 180 WHEN days <= 3 THEN 260 ELSE 360 END AS high FROM t)
+SELECT doc_id, t = '' AS empty, length(t) > high AS too_long, t <> '' AND length(t) < low AS too_short, regexp_matches(t, '(^|[^A-Za-z0-9])[A-Z]+_[A-Z_]+($|[^A-Za-z0-9])') AS internal FROM b""")
 def summary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of summaries, tried on documents."""
-    t, n = F.col("text"), F.length("text")
-    return table(spark, sf_dir, "documents").select("doc_id", (n > contacts.LENGTHS[2][2]).alias("too_long"), (n < contacts.LENGTHS[2][1]).alias("too_short"), t.rlike(contacts.SIGNAL_CODE).alias("coded"))
+    """The rules that the beginnings of texts break as summaries, by name."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr("left(text, CAST(40 + doc_id % 400 AS INT))").alias("summary"), (F.col("doc_id") % 5).alias("days"), "text")
+    found = rows.select("doc_id", contacts.summary_faults(F.col("summary"), F.col("text"), F.col("days")).alias("faults"))
+    return found.select("doc_id", *(F.array_contains("faults", rule).alias(name) for name, rule in (("empty", "empty"), ("too_long", "too long"), ("too_short", "too short"), ("internal", "internal term"))))
+
+
+@query(f"{DAYS}, {NOTES} SELECT manager, customer, stat_date, nt.status AS note_status, nt.status IN ('ok', 'no_business') AS done FROM st JOIN nt ON nt.manager = st.manager AND nt.customer = st.customer AND nt.note_date = st.stat_date" .replace("SELECT manager, customer, stat_date, nt", "SELECT st.manager, st.customer, stat_date, nt"))
+def existing_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair-days that have a note, with its state."""
+    notes = _notes(spark, sf_dir).select("manager", "customer", F.col("note_date").alias("stat_date"), F.col("status").alias("note_status"))
+    return _stats(spark, sf_dir).join(notes, ["manager", "customer", "stat_date"]).select("manager", "customer", "stat_date", "note_status", F.col("note_status").isin("ok", "no_business").alias("done"))
+
+
+@query("SELECT user_id, CAST(floor(greatest(40 - user_id % 50, 0) * (CASE WHEN user_id % 3 = 0 THEN 1800.0 ELSE (user_id * 7) / greatest(user_id % 4, 1)::DOUBLE END) / (27000.0 / 60)) AS BIGINT) AS eta FROM (SELECT DISTINCT user_id FROM events WHERE user_id > 0)")
+def run_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds that a run still takes, from made-up progress of users."""
+    u = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id > 0")
+    tokens = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id") * 7)
+    return u.select("user_id", contacts.eta_seconds(40 - F.col("user_id") % 50, F.col("user_id") % 4, tokens).alias("eta"))
+
+
+@query("""WITH o AS (SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM events WHERE day(ts) <= 15 GROUP BY 1), w AS (SELECT user_id, max(event_id) AS event_id, count(*) AS n, user_id % 4 = 0 AS failed FROM events WHERE day(ts) > 15 GROUP BY 1)
+SELECT coalesce(o.user_id, w.user_id) AS user_id, CASE WHEN w.user_id IS NULL OR (w.failed AND o.user_id IS NOT NULL) THEN o.event_id ELSE w.event_id END AS event_id, CASE WHEN w.user_id IS NULL THEN o.n ELSE w.n END AS n FROM o FULL JOIN w USING (user_id)""")
+def patched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert in which a failed row changes its count alone."""
+    e = table(spark, sf_dir, "events").withColumn("late", F.dayofmonth("ts") > 15)
+    half = e.groupBy("user_id", "late").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
+    return incremental.patched(half.where("NOT late").drop("late"), half.where("late").drop("late"), ["user_id"], F.col("user_id") % 4 == 0, ["n"])
 
 
 @query(f"{DAYS} SELECT stat_date, count(*) AS pairs, CAST(sum(msg_count) AS BIGINT) AS messages, CASE WHEN count(*) FILTER (msg_count = 1) = 0 THEN 'success' WHEN count(*) FILTER (msg_count = 1) >= count(*) THEN 'failed' ELSE 'partial_success' END AS status, CAST(sum(msg_count * 100 // 3 + CASE WHEN customer % 3 = 0 THEN msg_count * 100 % 3 ELSE 0 END) AS BIGINT) AS tokens FROM st GROUP BY 1")

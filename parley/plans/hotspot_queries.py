@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import hashing, text, vectors
-from parley.operators import departments, ml, sessions, topics, trend
+from parley.operators import departments, incremental, ml, sessions, topics, trend
 from parley.plans.registry import query
 from parley.settings import Settings
+from parley.sources import readers
 from parley.sources.readers import event_messages, table, topic_vectors
 
 MESSAGES = """m AS (
@@ -143,14 +144,16 @@ def class_tfidf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT md5(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")
 def unique_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an embedder would see: each text once, under its smallest id."""
-    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    docs = table(spark, sf_dir, "documents").select(F.md5("text").alias("text_hash"), "doc_id")
+    copies = docs.groupBy("text_hash").agg(F.count("*").alias("copies"))
+    return topics.dedupe_first(docs, ["text_hash"], ["doc_id"]).join(copies, "text_hash")
 
 
 @query("SELECT DISTINCT md5(text) AS text_hash FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM benchmark UNION ALL SELECT md5(text) FROM documents WHERE source = 'src1')")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.md5("text"))
     cache = table(spark, sf_dir, "benchmark").select(F.md5("text").alias("text_hash")).union(docs.where("source = 'src1'").select("text_hash")).distinct()
-    return docs.select("text_hash").distinct().join(cache, "text_hash", "left_anti")
+    return incremental.misses(docs, cache).select("text_hash")
 
 
 @query(f"WITH {CENTERS} SELECT topic_id, pos, round(mean, 6) AS mean FROM c")
@@ -305,7 +308,14 @@ def trend_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.similarities(*_boards(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(_BOARDS.replace("WITH d AS", "WITH RECURSIVE d AS") + """, sims AS (SELECT j.rank, j.prev_rank, j.prev_topic, j.prev_heat, CAST(c AS DOUBLE) / (x.n + y.n - c) AS similarity FROM j JOIN s x ON x.half = 1 AND x.rank = j.rank JOIN s y ON y.half = 0 AND y.rank = j.prev_rank),
+    g AS (SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick
+        UNION ALL SELECT rank + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, best FROM (
+            SELECT g.rank, g.used, (SELECT CASE WHEN arg_min(similarity, (-similarity, prev_rank)) >= 0.3 AND arg_min(prev_heat, (-similarity, prev_rank)) > 0 THEN min_by(prev_rank, (-similarity, prev_rank)) END
+                FROM sims WHERE sims.rank = g.rank + 1 AND NOT list_contains(g.used, sims.prev_rank)) AS best FROM g WHERE g.rank < 20)),
+    m AS (SELECT g.rank, sims.prev_topic, sims.prev_heat FROM g JOIN sims ON sims.rank = g.rank AND sims.prev_rank = g.pick),
+    o AS (SELECT vr.topic_id, vr.heat, CAST(vr.rank AS INTEGER) AS rank, m.prev_topic, m.prev_heat, round((vr.heat - m.prev_heat) / CAST(m.prev_heat AS DOUBLE), 4) AS pct FROM vr LEFT JOIN m ON m.rank = vr.rank WHERE half = 1 AND vr.rank <= 20)
+    SELECT topic_id, heat, rank, prev_topic, coalesce(prev_heat, 0) AS prev_heat, pct AS heat_change_pct, prev_heat IS NULL AS is_new, heat >= 20 AND (prev_heat IS NULL OR pct >= 0.5) AS is_surge FROM o""")
 def trend_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The board with each topic's match of the day before, chosen greedily by rank."""
     return trend.with_trend(*_boards(spark, sf_dir)).drop("words")
@@ -350,3 +360,84 @@ def topic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of each session's vector with its topic's centroid."""
     rows = topic_vectors(spark, sf_dir).join(F.broadcast(_centers(spark, sf_dir)), "topic_id")
     return rows.select(F.col("n").alias("vec_id"), F.round(vectors.cosine(F.col("vector"), F.col("centroid")), 6).alias("similarity"))
+
+
+@query(f"{SESSIONS.replace('min(msg_time) AS started', chr(39)+chr(39)+' AS _x, string_agg(content, '+chr(39)+' '+chr(39)+' ORDER BY msg_time, id) AS text, min(msg_time) AS started')} SELECT topic_id, customer, session_seq, msg_count, md5(text) AS text_hash FROM ses")
+def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with the fingerprint of their joined and masked texts, in message order."""
+    kept = event_messages(spark, sf_dir).where("from_customer")
+    out = sessions.aggregate_sessions(sessions.sessionize(kept, ["topic_id", "customer"]), ["topic_id", "customer"])
+    return out.select("topic_id", "customer", "session_seq", "msg_count", "text_hash")
+
+
+_LOG = "SELECT event_id AS id, ts AS msg_time, CAST(CAST(ts AS DATE) AS VARCHAR) AS create_date, CASE WHEN event_id % 7 = 0 THEN 'image' ELSE 'text' END AS msg_type, CASE WHEN event_type = 'error' THEN 's' || user_id % 10 ELSE 'wm' || user_id END AS from_user, CASE WHEN event_type = 'error' THEN 'wm' || user_id ELSE 's' || user_id % 10 END AS to_user, substr(props, 1, 1 + event_id % 12) AS content FROM events"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a raw log: errors come from a manager, every seventh is an image, contents have 1 to 12 characters."""
+    e, staff, customer = table(spark, sf_dir, "events"), F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")), F.concat(F.lit("wm"), F.col("user_id").cast("string"))
+    error = F.col("event_type") == "error"
+    return e.select(
+        F.col("event_id").alias("id"), F.col("ts").alias("msg_time"), F.to_date("ts").cast("string").alias("create_date"), F.when(F.col("event_id") % 7 == 0, "image").otherwise("text").alias("msg_type"),
+        F.when(error, staff).otherwise(customer).alias("from_user"), F.when(error, customer).otherwise(staff).alias("to_user"), F.expr("substr(props, 1, CAST(1 + event_id % 12 AS INT))").alias("content"),
+    )
+
+
+@query(f"WITH l AS ({_LOG}) SELECT id, to_user AS staff, from_user AS customer, content FROM l WHERE create_date = '2024-01-10' AND msg_type = 'text' AND from_user LIKE 'wm%'")
+def day_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' text messages of a day by its creation date."""
+    return readers.customer_messages(_log(spark, sf_dir), "2024-01-10").select("id", "staff", "customer", "content")
+
+
+@query(f"WITH l AS ({_LOG}) SELECT id, from_user, to_user FROM l WHERE msg_type = 'text' AND msg_time >= TIMESTAMP '2024-01-10' AND msg_time < TIMESTAMP '2024-01-11'")
+def day_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text messages of a day by message time, its bounds half open."""
+    return readers.day_messages(_log(spark, sf_dir), "2024-01-10").select("id", "from_user", "to_user")
+
+
+@query(f"WITH l AS ({_LOG}) SELECT id FROM l WHERE msg_type = 'text' AND (from_user = 's3' OR to_user = 's3') AND msg_time >= TIMESTAMP '2024-01-05' AND msg_time < TIMESTAMP '2024-01-21'")
+def manager_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text messages from or to one manager between two days, both included."""
+    return readers.manager_messages(_log(spark, sf_dir), "s3", "2024-01-05", "2024-01-20").select("id")
+
+
+@query(f"WITH l AS ({_LOG}), c AS (SELECT content FROM l GROUP BY 1 HAVING count(*) > 50) SELECT id FROM l WHERE msg_type = 'text' AND length(trim(content)) >= 5 AND trim(content) NOT IN (SELECT trim(content) FROM c)")
+def kept_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages long enough that are not chitchat, which common contents play here."""
+    log = _log(spark, sf_dir)
+    chitchat = log.groupBy(F.trim("content").alias("word")).agg(F.count("*").alias("n")).join(log.groupBy("content").agg(F.count("*").alias("m")).where("m > 50").select(F.trim("content").alias("word")).distinct(), "word").select("word")
+    return sessions.keep_messages(log, chitchat).select("id")
+
+
+@query(f"WITH l AS ({_LOG}) SELECT id, from_user FROM l WHERE msg_type = 'text' UNION ALL SELECT id, from_user FROM l WHERE msg_type = 'image'")
+def union_of_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log put together from two shards whose columns stand in another order."""
+    log = _log(spark, sf_dir)
+    return readers.union_of_shards([log.where("msg_type = 'text'").select("id", "from_user"), log.where("msg_type = 'image'").select("from_user", "id")])
+
+
+@query("""WITH old AS (SELECT 'term' AS kind, n_name AS word, n_nationkey % 2 = 0 AS enabled FROM nation), added AS (SELECT 'term' AS kind, lower(n_name) AS word FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'term', r_name || ' region' FROM region)
+SELECT coalesce(o.kind, a.kind) AS kind, coalesce(o.word, a.word) AS word, (coalesce(o.enabled, false) OR a.word IS NOT NULL) AND lower(coalesce(o.word, a.word)) <> 'brazil' AS enabled FROM old o FULL JOIN added a ON lower(o.word) = lower(a.word)""")
+def lexicon_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon after words were added, some of them again in another case, and one was switched off."""
+    nation = table(spark, sf_dir, "nation")
+    old = nation.select(F.lit("term").alias("kind"), F.col("n_name").alias("word"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
+    new = nation.where("n_nationkey % 3 = 0").select(F.lower("n_name").alias("word")).union(table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(" region"))))
+    return readers.lexicon_removed(readers.lexicon_added(old, new, "term"), "Brazil", "term").select("kind", "word", "enabled")
+
+
+@query("""WITH m AS (SELECT lang AS topic_id, source AS member, count(*) AS size FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, unnest(range(1, least(size, 40) + 1)) AS place FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY place > 1, CAST(size AS DOUBLE) / place DESC, member) AS k FROM p) SELECT topic_id, member, count(*) AS places FROM r WHERE k <= 40 GROUP BY 1, 2""")
+def pool_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the forty places of a language's pool go to its sources."""
+    members = table(spark, sf_dir, "documents").where("lang IS NOT NULL").groupBy(F.col("lang").alias("topic_id"), F.col("source").alias("member")).agg(F.count("*").alias("size"))
+    return topics.quotas(members, 40)
+
+
+@query(f"WITH {SLICES}, cat AS (SELECT DISTINCT topic_id, 'intent ' || topic_id AS intent FROM v WHERE topic_id % 2 = 0) SELECT department, topic_id, coalesce(intent, '客户关注word' || topic_id || '、x、y') AS customer_intent, CASE WHEN intent IS NULL THEN 'department' ELSE 'global' END AS intent_source FROM vol LEFT JOIN cat USING (topic_id)")
+def intent_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents of department topics from the company's catalog, else from their hot words."""
+    volume = topics.topic_volume(_slices(spark, sf_dir), ["department", "topic_id"]).withColumn("parent_topic_id", F.lit(None).cast("int"))
+    board = volume.withColumn("words", F.array(F.concat(F.lit("word"), F.col("topic_id").cast("string")), F.lit("x"), F.lit("y"), F.lit("z")))
+    catalog = topic_vectors(spark, sf_dir).where("topic_id % 2 = 0").select("topic_id", F.concat(F.lit("intent "), F.col("topic_id").cast("string")).alias("customer_intent")).distinct()
+    return departments.with_fallback(board, catalog).select("department", "topic_id", "customer_intent", "intent_source")

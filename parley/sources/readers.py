@@ -16,7 +16,6 @@ LOG_SCHEMA = (
     "id long, msg_id string, content string, create_date string, create_time string, msg_time timestamp, from_user string, to_user string, "
     "room_id string, msg_type string, db_time timestamp, msg_time_long long, msg_body string, action_text string, scene int"
 )
-VECTOR_SCHEMA = "session_id string, text string, tokens string, msg_count int, customer string, vector array<float>"
 
 
 def read_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -24,11 +23,19 @@ def read_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(*([paths] if isinstance(paths, str) else paths))
 
 
-def read_log_jdbc(spark: SparkSession, url: str, properties: dict[str, str], s: Settings = DEFAULTS, table: str = "user_chat_record_sharding_{}") -> DataFrame:
-    """The same over a database's shard tables, a partition each."""
-    each = [spark.read.jdbc(url, table.format(k), properties=properties) for k in range(1, s.shard_count + 1)]
-    out = each[0]
-    for df in each[1:]:
+def read_log_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str], s: Settings = DEFAULTS, date: str | None = None) -> DataFrame:
+    """The same over a database's shard tables, a partition each. ``table``: a name with {} for the shard's number.
+
+    ``date``: only that day's rows, by creation date, which the database filters.
+    """
+    only = [f"create_date = '{date}'"] if date else None
+    return union_of_shards([spark.read.jdbc(url, table.format(k), predicates=only, properties=properties) for k in range(1, s.shard_count + 1)])
+
+
+def union_of_shards(shards: Sequence[DataFrame]) -> DataFrame:
+    """All rows of all shards, columns matched by name."""
+    out = shards[0]
+    for df in shards[1:]:
         out = out.unionByName(df)
     return out
 
@@ -61,7 +68,7 @@ def day_part(pairs: DataFrame, part: int, parts: int, manager: str = "manager")
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """A word list, a word a line: (word), stripped, once each ignoring case, in the order of the file's words."""
+    """A word list, a word a line: (word), stripped, once each ignoring case; in no order."""
     rows = spark.read.text(path).select(F.trim("value").alias("word")).where("word != ''")
     return rows.groupBy(F.lower("word").alias("_key")).agg(F.min("word").alias("word")).drop("_key")
 

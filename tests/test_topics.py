@@ -53,10 +53,13 @@ def test_ranking_breaks_ties_by_topic(spark):
     assert [r.topic_id for r in topics.ranked(v).orderBy("rank").collect()] == [2, 1, 3]
 
 
-def test_quotas_cover_every_child():
-    assert topics.quotas({0: 6, 1: 6}, 6) == {0: 3, 1: 3}
-    assert topics.quotas({0: 100, 1: 1, 2: 1}, 40) == {0: 38, 1: 1, 2: 1}
-    assert sum(topics.quotas({k: 1 for k in range(9)}, 6).values()) == 6
+def test_quotas_cover_every_member(spark):
+    def places(sizes, cap):
+        rows = spark.createDataFrame([(1, m, n) for m, n in sizes.items()], "topic_id int, member int, size long")
+        return {r.member: r.places for r in topics.quotas(rows, cap).collect()}
+
+    assert places({0: 8, 1: 8}, 4) == {0: 2, 1: 2} and places({0: 90, 1: 2, 2: 1}, 30) == {0: 28, 1: 1, 2: 1}
+    assert sum(places({k: 2 for k in range(7)}, 5).values()) == 5 and places({0: 2, 1: 1}, 9) == {0: 2, 1: 1}
 
 
 def test_bottom_k_ignores_partitioning(spark):
@@ -111,13 +114,13 @@ def test_floor_rounds_up(spark):
 
 def test_split_of_two_groups(spark):
     x = [[1.0, 0.02 * (i % 3)] for i in range(20)] + [[0.02 * (i % 3), 1.0] for i in range(20)]
-    labels = departments.best_split(np.array(x))
-    assert sorted(np.bincount(labels).tolist()) == [20, 20]
-    assert departments.best_split(np.ones((40, 2))) is None
     rows = spark.createDataFrame([("d", 7, str(i), 1, i % 5, v) for i, v in enumerate(x)] + [("d", 8, "other", 1, 1, [1.0, 0.0])], "department string, topic_id int, session_id string, msg_count long, customer int, vector array<double>")
     out = departments.split_targets(rows, spark.createDataFrame([("d", 7)], "department string, topic_id int"), 10)
     got = {(r.topic_id, r.parent_topic_id): r.session_count for r in topics.topic_volume(out, ["topic_id", "parent_topic_id"]).collect()}
     assert got == {(10, 7): 20, (11, 7): 20, (8, None): 1}
+    alike = rows.withColumn("vector", F.array(F.lit(1.0), F.lit(1.0)))
+    out = departments.split_targets(alike, spark.createDataFrame([("d", 7)], "department string, topic_id int"), 10)
+    assert {(r.topic_id, r.parent_topic_id) for r in out.collect()} == {(7, None), (8, None)}
 
 
 def test_roster_fan_out_and_fallback(spark):
@@ -138,8 +141,14 @@ def test_readiness(spark):
     assert not departments.is_ready(runs("r"), runs("r", "q")) and not departments.is_ready(runs(), runs("r"))
 
 
-def test_silhouette_by_hand():
-    x = np.array([[0.0], [1.0], [10.0]])
-    want = np.mean([(10 - 1) / 10, (9 - 1) / 9, 0])
-    assert abs(departments.silhouette(x, np.array([0, 0, 1])) - want) < 1e-12
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
+def test_silhouette_by_hand(spark):
+    x = np.array([[1.0, 0.0], [0.8, 0.6], [0.0, 1.0], [0.28, 0.96], [-1.0, 0.0]])
+    part = [0, 0, 1, 1, 2]
+    rows = spark.createDataFrame([("d", 1, str(i), v.tolist(), 3, p) for i, (v, p) in enumerate(zip(x, part, strict=True))], "department string, topic_id int, session_id string, unit array<double>, k int, part int")
+    gaps = ((x[:, None] - x) ** 2).sum(2)
+    want = []
+    for i, p in enumerate(part):
+        mean = {q: np.mean([gaps[i, j] for j, r in enumerate(part) if r == q and j != i]) for q in set(part) if q != p or part.count(p) > 1}
+        want.append(0.0 if part.count(p) == 1 else (min(mean[q] for q in mean if q != p) - mean[p]) / max(min(mean[q] for q in mean if q != p), mean[p]))
+    got = departments.split_quality(rows).first()
+    assert abs(got.quality - np.mean(want)) < 1e-12 and (got.least, got.n) == (1, 5)
