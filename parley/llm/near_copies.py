@@ -175,7 +175,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
     """(node, root) of all rows of ``texts`` (row long, unique, as numbered() gives them; text) that have a near copy; root is one of their component."""
     marks = shared.written(map_texts(texts.select("row", "text"), _marked, "row long, fp long, keys array<long>, ties array<long>"), "marks")
     keyed = marks.select(F.explode("keys").alias("key"), "row").repartition("key").sortWithinPartitions("key", "row")
-    ties = marks.select("row", F.explode("ties").alias("b")).toDF("a", "b").union(keyed.mapInArrow(_tied, "a long, b long"))
+    ties = marks.select("row", F.explode("ties").alias("b")).toDF("a", "b").union(checkpointed(keyed.mapInArrow(_tied, "a long, b long")))
     named = marks.groupBy("fp").agg(F.min("row").alias("hub"))
     of_fp = simhash.links(named.select("fp"))
     first, second = (named.toDF(n, h) for n, h in (("a", "x"), ("b", "y")))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from parley.llm import blocks as B
 from parley.llm.merges import MergeTable
-from parley.llm.shared import checkpointed, map_texts
+from parley.llm.shared import checkpointed, kept, map_texts
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -127,13 +127,11 @@ class WordTokenizer:
         return B.taken(ids, sizes, codes), np.bincount(doc, sizes[codes], block.n_docs).astype(np.int64)
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    own = kept(__name__)
+    if path not in own:
+        own[path] = WordTokenizer(path)
+    return own[path]
 
 
 class Packer:

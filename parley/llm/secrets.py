@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import blocks as B
-from parley.llm.shared import map_texts
+from parley.llm.shared import kept, map_texts
 
 KINDS = ("assign", "access", "hex", "random")
 LEAST_CHARS = 16  # of a candidate for the token test
@@ -57,13 +57,11 @@ class Vocabulary:
         return len(run) / max(1, len(self.encoding.encode_ordinary(run)))
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path, pattern)
-    return _vocabularies[path]
+    own = kept(__name__)
+    if path not in own:
+        own[path] = Vocabulary(path, pattern)
+    return own[path]
 
 
 def is_identifier(run: str, words: Vocabulary) -> bool:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from parley.llm import blocks as B
 from parley.llm.merges import MergeTable
-from parley.llm.shared import map_texts
+from parley.llm.shared import kept, map_texts
 
 MARK = "▁"  # what stands for a space in pieces
 CODE_BYTES = 8 << 20  # of text whose chunks are encoded together
@@ -145,13 +145,11 @@ class Codec:
         return Coded(B.taken(ids.astype(np.int32), sizes, codes), B.taken(shown, shown_sizes, codes), *cuts)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    own = kept(__name__)
+    if path not in own:
+        own[path] = Codec(path)
+    return own[path]
 
 
 def encode_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import re
 import shutil
@@ -37,11 +38,32 @@ def shared_root(spark: SparkSession) -> str:
 BATCH_ROWS = 2000
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a reused worker keeps from task to task for one operator. It goes when a task of another one begins."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
+def _given_back() -> None:
+    """Freed memory goes back to the system, as the next task may run in another worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow for rows with texts: ``run`` gets batches of BATCH_ROWS at most, whatever the session's setting is."""
 
     def sliced(batches):
-        return run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(1, batch.num_rows), BATCH_ROWS))
+        kept(run.__module__)
+        try:
+            yield from run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(1, batch.num_rows), BATCH_ROWS))
+        finally:
+            _given_back()
 
     return df.mapInArrow(sliced, schema)
 
