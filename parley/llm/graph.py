@@ -59,12 +59,16 @@ def components(links: DataFrame) -> DataFrame:
     """``links``: two long columns, each row one link, repeats and self-links allowed, no nulls.
 
     Returns (node, root) for every node that has a link to another one; root is the smallest node of its
-    component, itself included. Runs one small job a round, about the logarithm of the longest chain in all.
+    component, itself included. Runs one small job a round, about the logarithm of the longest chain in all. As soon
+    as fewer than FOLD_LINKS links are left, one task ends it.
     """
     a, b = links.columns
     links = checkpointed(links.where(F.col(a) != F.col(b)).mapInArrow(_folded, "u long, v long").distinct())
     before = None
     while (now := _sum(links)) != before:
+        if now[0] < FOLD_LINKS:
+            links = checkpointed(links.repartition(1).mapInArrow(_folded, "u long, v long"))
+            break
         before = now
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -408,7 +408,7 @@ def test_vector_join_like_brute_force(spark, monkeypatch):
     assert vector_join.near_duplicate_vectors(docs.limit(0)).count() == 0
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_components(spark, links):
     parent = list(range(26))
@@ -421,12 +421,16 @@ def test_components(spark, links):
     for a, b in links:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    for i in range(26):
-        assert got.get(i, i) == find(i)
+    for most in (2, 1 << 20):  # in rounds, and in one task
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(graph, "FOLD_LINKS", most)
+            got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        for i in range(26):
+            assert got.get(i, i) == find(i)
 
 
-def test_components_of_a_chain(spark):
+def test_components_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FOLD_LINKS", 20)
     links = spark.range(300).select(((F.col("id") * 7919) % 100_003).alias("a"), (((F.col("id") + 1) * 7919) % 100_003).alias("b"))
     got = {r.root for r in graph.components(links.repartition(16)).collect()}
     assert got == {0}
