@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +29,13 @@ def crc_partition(key: Column, parts: int) -> Column:
 def word_list_fingerprint(words: Column) -> Column:
     """First 16 hexadecimal digits of the MD5 of the sorted words; an aggregate."""
     return F.substring(F.md5(F.array_join(F.array_sort(F.collect_list(words)), "\n")), 1, 16)
+
+
+def config_fingerprint(config: dict) -> str:
+    """SHA-256 of a configuration, whatever the order of its keys."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def sha1_name(*parts: Column) -> Column:
+    """A stable name of parts joined by colons."""
+    return F.sha1(F.concat_ws(":", *(p.cast("string") for p in parts)))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.operators.topics import gated
 from parley.settings import DEFAULTS, Settings
 
 
@@ -28,6 +29,7 @@ def checked_vectors(rows: DataFrame, vector: str = "vector") -> DataFrame:
 def cluster_topics(rows: DataFrame, vector: str = "vector", s: Settings = DEFAULTS) -> DataFrame:
     """Adds topic_id and distance: PCA, then k-means of the reduced vectors; trained on all rows, each in its place.
 
+    Where the settings have gates, rows too far from their centre or too close to a second one are noise (topic -1).
     Fewer rows than clusters give fewer clusters. Training passes re-read the input, so it is persisted once.
     """
     data = checked_vectors(rows, vector).withColumn("_v", array_to_vector(F.col(vector))).persist()
@@ -44,7 +46,14 @@ def cluster_topics(rows: DataFrame, vector: str = "vector", s: Settings = DEFAUL
     out = model.transform(checked_vectors(rows, vector).withColumn("_v", array_to_vector(F.col(vector))))
     center = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in centers)), F.col("topic_id") + 1)
     gap = F.aggregate(F.zip_with(vector_to_array("_x"), center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    return out.withColumn("distance", F.sqrt(gap)).drop("_v", "_x")
+    out = out.withColumn("distance", F.sqrt(gap))
+    if s.min_margin > 0 or s.max_distance > 0:  # far or undecided rows are noise
+        all_centers = F.array(*(F.array(*map(F.lit, c)) for c in centers))
+        gaps = F.transform(all_centers, lambda c: F.sqrt(F.aggregate(F.zip_with(vector_to_array("_x"), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)))
+        second = F.try_element_at(F.array_sort(gaps), F.lit(2))
+        out = out.withColumn("margin", (second - F.col("distance")) / F.greatest(second, F.lit(1e-12)))
+        out = gated(out.withColumnRenamed("topic_id", "_topic"), s).drop("_topic", "margin")
+    return out.drop("_v", "_x")
 
 
 def mmr(vectors: np.ndarray, k: int, weight: float = 0.6) -> list[int]:

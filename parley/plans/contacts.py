@@ -14,14 +14,16 @@ from parley.settings import DEFAULTS, Settings
 Provider = Callable[[list[str]], list[str]]
 
 
-def daily_notes(messages: DataFrame, codes: DataFrame, provider: Provider, stored: DataFrame | None = None, prompt_version: str = "1", chitchat: DataFrame | None = None, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def daily_notes(messages: DataFrame, codes: DataFrame, provider: Provider, stored: DataFrame | None = None, prompt_version: str = "1", chitchat: DataFrame | None = None, before: DataFrame | None = None, write: Callable[[DataFrame], DataFrame] | None = None, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statistics, notes, signals) of pair messages. Days whose fingerprint is stored are not asked again.
 
-    A day without lines after cleaning is no_business. The rest is packed into prompts by a budget of tokens.
+    A day without lines after cleaning is no_business. The rest is packed into prompts by a budget of tokens. ``before``:
+    stored statistics of earlier days, for sessions that cross midnight. ``write`` stores the model's answers and reads
+    them again (Store.written), so that a lost executor never makes the model answer anew and differently.
     """
     keys = list(contacts.PAIR)
     day = [*keys, "stat_date"]
-    stats = sessions.day_stats(messages, s=s)
+    stats = sessions.day_stats(messages, s=s, before=before)
     rows = messages.withColumn("stat_date", F.to_date("msg_time"))
     lines = contacts.fit_transcripts(contacts.transcript_lines(rows, chitchat, s=s), s.call_tokens)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
@@ -35,7 +37,8 @@ def daily_notes(messages: DataFrame, codes: DataFrame, provider: Provider, store
     batches = contacts.packed_days(asked, s.batch_tokens).drop("tokens").join(asked, day)
     one = F.concat(F.lit("["), F.col("stat_date").cast("string"), F.lit("]\n"), F.col("text"))
     prompts = batches.groupBy(*keys, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stat_date", one.alias("p")))), lambda x: x["p"]), "\n\n").alias("prompt"))
-    answers = contacts.provider_answers(prompts, provider).persist()
+    answers = contacts.provider_answers(prompts, provider)
+    answers = answers.persist() if write is None else write(answers)
     notes, signals = contacts.parsed_notes(answers, asked.select(*day, "text"), codes, s)
     empty = F.array().cast("array<string>")
     columns = list(contacts.LIST_LIMITS)
@@ -92,8 +95,18 @@ def contact_summaries(stats: DataFrame, notes: DataFrame, signals: DataFrame, co
     return out.where(none).withColumn("summary", fixed).withColumn("status", F.lit("template")).unionByName(answered)
 
 
-def summary_list(summaries: DataFrame, status: str | None = None, order: str = "last_contact", page: int = 1, size: int = 20) -> DataFrame:
-    """A page of summaries, the latest or the most sessions first."""
+def summary_list(summaries: DataFrame, status: str | None = None, order: str = "last_contact", page: int = 1, size: int = 20, signal: str | None = None, signal_status: str | None = None) -> DataFrame:
+    """A page of summaries: the latest first, or the most sessions, or (signal_change) those with a closed signal.
+
+    ``signal`` keeps those that have the signal (in ``signals``: array of code and status), in ``signal_status`` if given.
+    """
     rows = summaries if status is None else summaries.where(F.col("status") == status)
-    by = [F.desc("session_count"), F.desc("last_contact")] if order == "session_count" else [F.desc(order)]
-    return contacts.paged(rows, [*by, F.col("manager"), F.col("customer")], page, size)
+    if signal is not None:
+        rows = rows.where(F.exists("signals", lambda x: (x["code"] == signal) & (F.lit(signal_status is None) | (x["status"] == (signal_status or "")))))
+    by = {"session_count": [F.desc("session_count")], "signal_change": [F.desc(F.coalesce(F.exists("signals", lambda x: x["status"] == "closed"), F.lit(False)))]}.get(order, []) if order != "last_contact" else []
+    return contacts.paged(rows, [*by, F.desc("last_contact"), F.col("manager"), F.col("customer")], page, size)
+
+
+def summary_detail(summaries: DataFrame, manager: str, customer: str) -> DataFrame:
+    """One pair's summary."""
+    return summaries.where((F.col("manager") == manager) & (F.col("customer") == customer))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.hashing import config_fingerprint
 from parley.functions.text import business_tokens, tokens
 from parley.operators import departments, ml, sessions, topics, trend
 from parley.plans.providers import Embed, embedded, hashing_embedder
@@ -39,19 +40,20 @@ def _board(volume: DataFrame, words: DataFrame, by: list[str], s: Settings) -> D
     return rows.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
-def run_daily(store: Store, log: DataFrame, date: str, embed: Embed = hashing_embedder, chitchat: DataFrame | None = None, han: bool = False, force: bool = False, s: Settings = DEFAULTS) -> str:
+def run_daily(store: Store, log: DataFrame, date: str, embed: Embed = hashing_embedder, chitchat: DataFrame | None = None, han: bool = False, force: bool = False, embed_config: dict | None = None, s: Settings = DEFAULTS) -> str:
     """Computes and publishes the company's board of a day, and returns its run id.
 
-    Vectors of texts that the store already has are reused unless ``force``. The catalog and artifacts carry the run
+    Vectors of texts that the store already has, made under the same ``embed_config``, are reused unless ``force``. The catalog and artifacts carry the run
     id; the board is written last. An empty day clears what an earlier run left.
     """
     run = uuid.uuid4().hex
     units = session_units(log, date, chitchat, s)
-    cache = None if force else store.read("vectors").where(F.col("stat_date") == date).select("text_hash", "vector").dropDuplicates(["text_hash"])
+    config = config_fingerprint(embed_config or {"model": "hashing"})
+    cache = None if force else store.read("vectors").where((F.col("stat_date") == date) & (F.col("config_fp") == config)).select("text_hash", "vector").dropDuplicates(["text_hash"])
     rows = embedded(units, embed, cache, s=s).select("session_id", "staff", "customer", "msg_count", "text", "text_hash", "vector").persist()
     try:
         n = rows.count()
-        clustered = ml.cluster_topics(rows, s=s).persist()
+        clustered = topics.without_noise(ml.cluster_topics(rows, s=s)).persist()  # noise, by the settings' gates, is on no board
         volume = topics.topic_volume(clustered)
         centers = topics.packed(topics.centroids(clustered))
         mapping = topics.merge_map(volume, centers, s=s) if n else None
@@ -61,7 +63,7 @@ def run_daily(store: Store, log: DataFrame, date: str, embed: Embed = hashing_em
         before = store.read("boards").where((F.col("stat_date") == _day_before(date)) & (F.col("scope_type") == "global")).select("topic_id", "rank", "heat", "words")
         shown = trend.with_trend(board.where(F.col("rank") <= s.top_n), before, s=s)
         tag = F.lit(run).alias("run_id")
-        store.replace_day("vectors", rows, date)
+        store.replace_day("vectors", rows.withColumn("config_fp", F.lit(config)), date)
         store.replace_day("assignments", final.select("session_id", "staff", "topic_id", tag), date)
         store.replace_day("centroids", topics.packed(topics.centroids(final)).select("topic_id", "centroid", tag), date)
         store.replace_day("catalog", board.select("topic_id", "customer_intent", "words", tag), date)
@@ -83,7 +85,7 @@ def run_departments(store: Store, roster: DataFrame, date: str, han: bool = Fals
     if not departments.is_ready(assignments, catalog):
         raise ValueError(f"{date} has no company run to slice")
     run = catalog.first().run_id
-    rows = store.read("vectors").where(day).drop("staff", "stat_date").join(assignments.select("session_id", "staff", "topic_id"), "session_id")
+    rows = store.read("vectors").where(day).drop("staff", "config_fp", "stat_date").join(assignments.select("session_id", "staff", "topic_id"), "session_id")
     sliced = departments.sliced(rows, roster)
     by = ["department", "topic_id"]
     local = topics.topic_volume(sliced, by).join(topics.packed(topics.centroids(sliced, by), by), by)
@@ -111,5 +113,10 @@ def board(store: Store, date: str, kind: str = "global", scope: str = "all") ->
     return rows.orderBy("rank")
 
 
+def run_of(store: Store, run_id: str) -> DataFrame:
+    """One run's row."""
+    return store.read("runs").where(F.col("run_id") == run_id)
+
+
 def runs(store: Store, limit: int = 100) -> DataFrame:
     return store.read("runs").orderBy(F.desc("stat_date"), "run_id").limit(limit)

@@ -1,4 +1,4 @@
-"""Models behind an interface, and offline stand-ins that need no network."""
+"""Models behind an interface, the rules by which they are asked again, and offline stand-ins that need no network."""
 
 from __future__ import annotations
 
@@ -30,6 +30,14 @@ def hashing_embedder(texts: list[str], width: int = 64) -> np.ndarray:
     return out
 
 
+def checked_vectors(vectors: np.ndarray, texts: list[str], width: int | None = None) -> np.ndarray:
+    """As many vectors as texts, all of one width (``width``, if given) and finite; else an error."""
+    out = np.asarray(vectors, np.float32)
+    if out.ndim != 2 or len(out) != len(texts) or (width is not None and out.shape[1] != width) or not np.isfinite(out).all():
+        raise ValueError(f"{len(texts)} texts were embedded as an array of shape {out.shape}")
+    return out
+
+
 def embedded(units: DataFrame, embed: Embed = hashing_embedder, cache: DataFrame | None = None, batch: int = 64, s: Settings = DEFAULTS) -> DataFrame:
     """Adds vector to units (text, text_hash). Equal texts are embedded once; those in ``cache`` (text_hash, vector) not at all."""
     unique = units.select("text_hash", F.substring("text", 1, s.embed_chars).alias("text")).dropDuplicates(["text_hash"])
@@ -39,7 +47,7 @@ def embedded(units: DataFrame, embed: Embed = hashing_embedder, cache: DataFrame
         for rows in batches:
             for at in range(0, len(rows), batch):
                 part = rows.iloc[at : at + batch]
-                yield pd.DataFrame({"text_hash": part["text_hash"].to_numpy(), "vector": list(embed(part["text"].tolist()))})
+                yield pd.DataFrame({"text_hash": part["text_hash"].to_numpy(), "vector": list(checked_vectors(embed(part["text"].tolist()), part["text"].tolist()))})
 
     found = todo.mapInPandas(run, T.StructType([T.StructField("text_hash", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))]))
     if cache is not None:
@@ -95,3 +103,74 @@ class SlidingWindow:
     def cool_down(self, seconds: float) -> None:
         with self.lock:
             self.paused = max(self.paused, self.clock() + seconds)
+
+
+class Busy(Exception):
+    """The model refuses for now; ``seconds`` until it may be asked again."""
+
+    def __init__(self, seconds: float):
+        super().__init__(f"busy for {seconds} s")
+        self.seconds = seconds
+
+
+class Unavailable(Exception):
+    """A fault that may pass: a time-out, a broken connection, an error on the model's side."""
+
+
+class Denied(Exception):
+    """A fault that stays: credentials, balance. Nothing more is asked."""
+
+
+class Asked:
+    """A provider (a list of prompts to a list of texts) made of one call, with the rules of asking again.
+
+    call(prompt, room) gives (text, tokens used, whether it was cut off at ``room`` output tokens). Busy waits and lets
+    all others wait; a cut-off answer is asked for again with twice the room, one that ``valid`` rejects with the reason
+    in the prompt; Unavailable is tried again after a pause that doubles. What then has no answer is None. After Denied
+    all further prompts have none. ``log`` has one record for each prompt.
+    """
+
+    def __init__(self, call: Callable[[str, int], tuple[str, int, bool]], limiter: SlidingWindow, valid: Callable[[str], str | None] = lambda text: None, attempts: int = 3, room: int = 1024, most_room: int = 8192, pause: float = 2.0):
+        self.call, self.limiter, self.valid, self.attempts, self.room, self.most_room, self.pause = call, limiter, valid, attempts, room, most_room, pause
+        self.denied: str | None = None
+        self.log: list[dict] = []
+
+    def _one(self, prompt: str) -> str | None:
+        room, reason, record = self.room, None, {"prompt_chars": len(prompt), "status": "failed", "attempts": 0, "tokens": 0, "error": self.denied}
+        self.log.append(record)
+        for attempt in range(self.attempts):
+            if self.denied:
+                record["error"] = self.denied
+                return None
+            record["attempts"] += 1
+            full = prompt if reason is None else f"{prompt}\n\nThe last answer was wrong: {reason}"
+            estimate = -(-len(full) // 2)
+            self.limiter.acquire(estimate)
+            try:
+                text, used, cut = self.call(full, room)
+            except Busy as e:
+                self.limiter.cool_down(e.seconds)
+                record |= {"status": "busy", "error": str(e)}
+                continue
+            except Denied as e:
+                self.denied = str(e)
+                record |= {"status": "denied", "error": self.denied}
+                return None
+            except Unavailable as e:
+                record |= {"status": "failed", "error": str(e)}
+                self.limiter.sleep(self.pause * 2**attempt)
+                continue
+            self.limiter.reconcile(estimate, used)
+            record["tokens"] += used
+            if cut:
+                room = min(2 * room, self.most_room)
+                record |= {"status": "cut", "error": "cut off"}
+            elif reason := self.valid(text):
+                record |= {"status": "invalid", "error": reason}
+            else:
+                record |= {"status": "ok", "error": None}
+                return text
+        return None
+
+    def __call__(self, prompts: list[str]) -> list[str | None]:
+        return [self._one(p) for p in prompts]

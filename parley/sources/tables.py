@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley.operators.incremental import expire_partitions, overwrite_partitions, read_if_there, replace_scope
 
 SCHEMAS = {
-    "vectors": "session_id string, staff string, customer string, msg_count long, text string, text_hash string, vector array<float>, stat_date string",
+    "vectors": "session_id string, staff string, customer string, msg_count long, text string, text_hash string, vector array<float>, config_fp string, stat_date string",
     "assignments": "session_id string, staff string, topic_id int, run_id string, stat_date string",
     "centroids": "topic_id int, centroid array<double>, run_id string, stat_date string",
     "catalog": "topic_id int, customer_intent string, words array<string>, run_id string, stat_date string",
     "boards": "rank int, topic_id int, parent_topic_id int, heat long, session_count long, customer_count long, score double, words array<string>, customer_intent string, prev_topic int, prev_heat long, heat_change_pct double, is_new boolean, is_surge boolean, run_id string, stat_date string, scope_type string, scope_id string",
     "day_stats": "manager string, customer string, msg_count long, customer_msg_count long, manager_msg_count long, session_count long, customer_initiated long, first_msg_time timestamp, last_msg_time timestamp, source_fp string, stat_date date",
     "notes": "note_id string, manager string, customer string, note_date date, status string, source_fp string, prompt_version string, topics array<string>, customer_points array<string>, manager_actions array<string>, facts array<string>, pending array<string>",
-    "runs": "run_id string, stat_date string, kind string, status string, sessions long, topics long",
+    "manifests": "records long, embed_fp string, token_fp string, run_id string, stat_date string",
+    "signals": "note_id string, manager string, customer string, no int, code string, status string, evidence string, verified boolean, stat_date date",
+    "summaries": "manager string, customer string, window_end date, session_count long, last_contact date, business_days long, incomplete_days long, signals array<struct<code:string,status:string>>, input_fp string, summary string, status string",
+    "runs": "run_id string, stat_date string, kind string, status string, sessions long, topics long, error string",
 }
 
 
@@ -40,6 +45,19 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path(name))
 
+    def written(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows as files of their own below ``name``: an answer that was paid for is not asked for again when a task is lost."""
+        path = f"{self.path(name)}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def reuse(self, date: str, embed_fp: str, token_fp: str) -> str:
+        """What of a day may be used again: ``all``, ``vectors`` (only the words changed) or ``nothing``; by its manifest and its rows."""
+        found = self.read("manifests").where(F.col("stat_date") == date).first()
+        if found is None or found.embed_fp != embed_fp or found.records != self.read("vectors").where(F.col("stat_date") == date).count():
+            return "nothing"
+        return "all" if found.token_fp == token_fp else "vectors"
+
     def overwrite(self, name: str, rows: DataFrame, by: list[str]) -> None:
         overwrite_partitions(rows, self.path(name), by)
 
