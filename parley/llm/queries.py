@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, kneser_ney, language_id, packing, secrets, sentencepiece_codec, sharding, simhash, toxicity, vector_join
+from parley.llm import exact_dedup, kneser_ney, language_id, packing, periodic_runs, secrets, sentencepiece_codec, sharding, simhash, toxicity, vector_join
 from parley.llm.folds import is_held_out
 
 
@@ -57,7 +58,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_sharding, op4_secrets, op5_vector_join, op6_exact_dedup, op7_simhash, op8_language_id, op9_packing, op10_sentencepiece)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    at = g % F.greatest(n, F.lit(1))
+    period = F.lit(1) + F.floor((n - at) / (F.lit(3) + g % 8))
+    looped = F.array_join(periodic_runs.repeated_from(words, at.cast("int"), period.cast("int")), " ")
+    docs = docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), looped).otherwise(F.col("text")).alias("text"))
+    rows = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.highest())
+    milli = F.expr("1000 * best.length div best.period")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    digests = [F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_sharding, op4_secrets, op5_vector_join, op6_exact_dedup, op7_simhash, op8_language_id, op9_packing, op10_sentencepiece, op11_periodic_runs)}
 
 ORACLE_SQL = {
     "op5_vector_join": r"""
