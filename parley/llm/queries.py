@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, kneser_ney, language_id, packing, periodic_runs, secrets, sentencepiece_codec, sharding, simhash, toxicity, vector_join
+from parley.llm import centroids, exact_dedup, factorisation, kneser_ney, language_id, packing, periodic_runs, secrets, sentencepiece_codec, sharding, simhash, toxicity, vector_join
 from parley.llm.folds import is_held_out
 
 
@@ -74,7 +74,51 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_sharding, op4_secrets, op5_vector_join, op6_exact_dedup, op7_simhash, op8_language_id, op9_packing, op10_sentencepiece, op11_periodic_runs)}
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = factorisation.fit_folds(docs, _table(spark, sf_dir, "labels"), ("n_chars",))
+    rows = factorisation.score(docs.withColumn("held_out", is_held_out("doc_id", 3, 1)), model)
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, clusters = centroids.delta_lloyd(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 40, 5, "2:")
+    total = F.sum("inertia").over(Window.partitionBy())  # of 40 rows
+    clusters = clusters.select("cluster", F.col("inertia").alias("cluster_inertia"), total.alias("inertia"), F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+    return rows.join(F.broadcast(clusters), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_sharding, op4_secrets, op5_vector_join, op6_exact_dedup, op7_simhash, op8_language_id, op9_packing, op10_sentencepiece, op11_periodic_runs, op12_quality, op13_centroids)}
+
+
+def _lloyd_sql(clusters: int, rounds: int) -> str:
+    """Each round has two tables: who belongs where (a), and the centroids after it (c)."""
+    parts = [
+        """v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS k, q FROM v QUALIFY k < {clusters})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (
+            SELECT r, min({{'d': CAST(list_sum(list_transform(list_zip(v.q, c{t}.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'k': k}}) AS best FROM v, c{t} GROUP BY r
+        )""")
+        if t < rounds:
+            parts.append(f"""c{t + 1} AS MATERIALIZED (
+            SELECT k, coalesce(n.q, c{t}.q) AS q FROM c{t} LEFT JOIN (
+                SELECT k, list(m ORDER BY i) AS q FROM (
+                    SELECT k, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (SELECT best.k AS k, unnest(q) AS x, unnest(range(64)) AS i FROM a{t} JOIN v USING (r)) GROUP BY k, i
+                ) GROUP BY k
+            ) AS n USING (k)
+        )""")
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.k = best.k
+    """
+
 
 ORACLE_SQL = {
     "op5_vector_join": r"""
@@ -97,4 +141,5 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, sha256(t) AS text_sha256 FROM g
     """,
+    "op13_centroids": _lloyd_sql(40, 5),
 }
