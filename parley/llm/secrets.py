@@ -5,7 +5,8 @@ string has few, as hardly any merge applies. Candidates are all unbroken runs of
 digests (hexadecimal of the usual lengths), UUIDs and identifiers (parts that tokenise as words, joined by
 underscores, hyphens, capitals or numbers) are set aside, so that checksums and names are not reported as secrets
 of this kind; so are paths, whose parts between slashes are all short, dates and numbers, digests or identifiers.
-Random strings of fewer than LEAST_CHARS characters are not told from words by their few tokens and not reported.
+Random strings of fewer than LEAST_CHARS characters are not told from words by their few tokens and not reported;
+nor are most strings of digits alone, which the vocabulary spells in groups of several.
 """
 
 from __future__ import annotations
@@ -78,15 +79,28 @@ def is_known(run: str, words: Vocabulary) -> bool:
     return "/" in run and all(len(p) < SHORT or _STAMP.fullmatch(p) or is_known(p, words) for p in parts)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that these spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def find_secrets(text: str, words: Vocabulary) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind."""
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [("hex", *m.span()) for m in _HEX.finditer(text) if len(m[0]) >= 32]
-    base = [(s, e) for _, s, e in out]
-    for m in _RUN.finditer(text):
+    taken, at = _merged([(s, e) for _, s, e in out]), 0
+    for m in _RUN.finditer(text):  # both lists are in order
         run = m[0].rstrip("=")
-        if any(s < m.end() and m.start() < e for s, e in base):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and taken[at][0] < m.end():
             continue
         if re.search("[A-Za-z0-9]", run) and words.chars_per_token(run) <= MOST_CHARS_PER_TOKEN and not is_known(run, words):
             out.append(("random", *m.span()))
