@@ -16,6 +16,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,25 @@ def tokenizer(path: str) -> WordTokenizer:
     return own[path]
 
 
+@dataclass(frozen=True)
+class Ids:
+    """Numbers of windows: the round of merging above the partition above the window within it, in bits of their own."""
+
+    round_bits: int = 7
+    partition_bits: int = 24
+    window_bits: int = 32
+
+    def first(self, round: int, partition: int) -> int:
+        """The number of the first window. A field that is full is an error."""
+        if round >> self.round_bits or partition >> self.partition_bits:
+            raise OverflowError(f"round {round} or partition {partition} of packing has no number")
+        return ((round << self.partition_bits) | partition) << self.window_bits
+
+    def within(self, windows: int) -> None:
+        if windows > 1 << self.window_bits:
+            raise OverflowError(f"{windows} windows of a partition have no numbers")
+
+
 class Packer:
     """Best fit over a bounded number of open windows. add() and close() give (window, size) of those that are done."""
 
@@ -168,13 +188,13 @@ class Packer:
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, fill long, open boolean"
 
 
-def _pack(path: str, window: int, open_windows: int, end_id: int, schema: T.StructType):
+def _pack(path: str, window: int, open_windows: int, end_id: int, ids_of: Ids, schema: T.StructType):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first, words = TaskContext.get().partitionId() << 40, tokenizer(path)
+        first, words = ids_of.first(0, TaskContext.get().partitionId()), tokenizer(path)
         packer = Packer(window, open_windows)
         waiting: dict[int, list[list]] = {}  # pieces of the open windows
         ids_type = schema[0].name
@@ -201,6 +221,7 @@ def _pack(path: str, window: int, open_windows: int, end_id: int, schema: T.Stru
                         name, offset, done = packer.add(len(piece) // 4)
                         waiting.setdefault(name, []).append([doc, start, len(piece) // 4, zlib.crc32(piece), total, first + name, offset])
                         out += rows(done, False)
+            ids_of.within(packer.made)
             if out:
                 yield batch_of(out)
         if left := rows(packer.close(), True):
@@ -209,13 +230,13 @@ def _pack(path: str, window: int, open_windows: int, end_id: int, schema: T.Stru
     return run
 
 
-def _merge(window: int, open_windows: int):
+def _merge(window: int, open_windows: int, ids_of: Ids, level: int):
     """Packs leftover windows, each a whole, into new ones; the rows are the moves (window, target, base, fill of target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 40
+        first = ids_of.first(level, TaskContext.get().partitionId())
         packer = Packer(window, open_windows)
         moves, fills = [], {}
         items = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
@@ -224,6 +245,7 @@ def _merge(window: int, open_windows: int):
             moves.append((name, first + target, base))
             fills |= {first + w: f for w, f in done}
         fills |= {first + w: f for w, f in packer.close()}
+        ids_of.within(packer.made)
         if moves:
             a, b, c = zip(*moves, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.array([fills[w] for w in b])], names=["window", "target", "base", "target_fill"])
@@ -231,7 +253,7 @@ def _merge(window: int, open_windows: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", ids: Ids = Ids()) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece of a document.
 
     Each document's ids and an end id lie in exactly one piece each; a null or empty text is its end id alone.
@@ -241,7 +263,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(_PIECES).fields])
-    pieces = checkpointed(map_texts(docs, _pack(tokenizer_path, window, open_windows, end_id, schema), schema))
+    pieces = checkpointed(map_texts(docs, _pack(tokenizer_path, window, open_windows, end_id, ids, schema), schema))
     done = pieces.where("not open").select("*", F.col("window").alias("sequence_id"))
     # Leftover windows: rounds of merging, each in fewer tasks, until one task takes all that is open or they merge no further.
     where = pieces.where("open").groupBy("window").agg(F.first("fill").alias("fill"))
@@ -253,8 +275,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, o
         tasks = -(-n // LEFTOVERS_PER_TASK)
         if not n or (before is not None and (before <= 1 or tasks >= before)):
             break
-        moved = left.repartition(tasks, "target").mapInArrow(_merge(window, 1 << 62), "window long, target long, base long, target_fill long")
-        moved = moved.select(F.col("window").alias("old"), (F.col("target") + F.lit(level << 58)).alias("new"), F.col("base").alias("shift"), F.col("target_fill").alias("new_fill"))
+        moved = left.repartition(tasks, "target").mapInArrow(_merge(window, 1 << 62, ids, level), "window long, target long, base long, target_fill long")
+        moved = moved.select(F.col("window").alias("old"), F.col("target").alias("new"), F.col("base").alias("shift"), F.col("target_fill").alias("new_fill"))
         where = where.join(moved, where.target == moved.old, "left").select("window", F.coalesce("new", "target").alias("target"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base"), F.coalesce("new_fill", "target_fill").alias("target_fill"))
         where = checkpointed(where)
         level, before = level + 1, tasks
