@@ -30,12 +30,14 @@ from parley.llm.graph import components, forest
 from parley.llm.shared import checkpointed
 
 COSINE = 0.98
-ROWS_PER_PIVOT = 1000
+ROWS_PER_PIVOT = 64
+LEAST_PIVOTS = 4  # of a label, if it has more vectors
 MOST_PIVOTS = 16_384  # of all labels together: with 64 dimensions, 8 MB that every task gets
+MOST_LABELS = 2048  # that have pivots; each other one is smaller than these, and one cell
 CHUNK = 4096  # vectors at home that a task holds
 STREAM = 2048
-MOST_COPIES = 8
-PROBES = 512  # vectors whose copies are counted
+MOST_COPIES = 3
+PROBES = 24  # vectors of a label whose copies are counted, and as many more as it has pivots
 CELL_NUMBERS = 1 << 20  # distances that a task holds at a time
 _SLACK = 1e-9  # rounding in distances; links themselves are decided on cosines in double precision
 
@@ -71,17 +73,42 @@ def _near(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.n
 
 
 def chosen_pivots(pivots: dict[tuple, np.ndarray], probes: dict[tuple, np.ndarray], radius: float) -> dict[tuple, np.ndarray]:
-    """The pivots of each label, as many of them (all, a quarter, ...) as copy its probes MOST_COPIES times at most."""
+    """The pivots of each label, as many of them (all, half, ...) as copy its probes MOST_COPIES times at most, but two."""
     out = {}
     for key, p in pivots.items():
         x = probes.get(key, p[:0])
-        while len(p) > 1 and len(x) and len(_near(x, p, radius)[0]) > MOST_COPIES * len(x):
-            p = p[: len(p) // 4]
+        while len(p) > 2 and len(x) and len(_near(x, p, radius)[0]) > MOST_COPIES * len(x):
+            p = p[: max(2, len(p) // 2)]
         if len(p) > 1:
             out[key] = p
     return out
 
 
+def _drawn(classes: DataFrame) -> tuple[dict[tuple, np.ndarray], dict[tuple, np.ndarray]]:
+    """Unit vectors drawn by their hash, by label and size: a pivot for every ROWS_PER_PIVOT of a label's vectors, at least LEAST_PIVOTS; and others as probes.
+
+    Of more labels than MOST_LABELS the largest have pivots; if there would be more than MOST_PIVOTS, all get fewer.
+    """
+    labels = classes.groupBy("label", F.size("vector").alias("size")).agg(F.count("*").alias("n")).where(F.col("n") > LEAST_PIVOTS)
+    labels = {(r.label, r["size"]): r.n for r in labels.orderBy(F.desc("n"), "label", "size").limit(MOST_LABELS).collect()}
+    rows = max(ROWS_PER_PIVOT, -(-sum(labels.values()) // MOST_PIVOTS))
+    wanted = {key: max(LEAST_PIVOTS, n // rows) for key, n in labels.items()}
+    if not wanted:
+        return {}, {}
+    # About twice as many as wanted and a few more, so that there are enough, with probes among them.
+    shares = [(*key, min(1.0, (2 * k + PROBES) / labels[key])) for key, k in wanted.items()]
+    shares = classes.sparkSession.createDataFrame(shares, "own_label string, own_size int, share double")  # MOST_LABELS rows at most
+    own = F.xxhash64("hash").bitwiseAND((1 << 53) - 1)
+    some = classes.join(F.broadcast(shares), (F.col("label") == F.col("own_label")) & (F.size("vector") == F.col("own_size"))).where(own < F.col("share") * float(1 << 53))
+    found: dict[tuple, list] = {}
+    for r in some.select("label", "own_size", own.alias("own"), "class", "vector").toLocalIterator():
+        v = np.array(r.vector, np.float64)
+        v = v / np.abs(v).max()
+        found.setdefault((r.label, r.own_size), []).append((r.own, r["class"], v / np.linalg.norm(v)))
+    drawn = {key: np.array([v for *_, v in sorted(own, key=lambda x: x[:2])]) for key, own in found.items()}
+    return {key: v[: wanted[key]] for key, v in drawn.items()}, {key: v[wanted[key] :] for key, v in drawn.items()}
+
+
 def _cells(pivots: dict[tuple, np.ndarray], radius: float):
     """Rows (class, cell, home): where each vector is at home and where it is copied to."""
     slice_rows = max(16, min([STREAM, *(CELL_NUMBERS // len(p) for p in pivots.values())]))
@@ -177,23 +204,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: s
     classes = valid.groupBy("hash", "label", "vector").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"))
     classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
 
-    total = classes.count()
-    target = min(MOST_PIVOTS, total // ROWS_PER_PIVOT)
-    def drawn(least: float, most: float, limit: int) -> dict[tuple, np.ndarray]:
-        """Unit vectors whose hash lies in a share of its range, by label and size."""
-        own = F.xxhash64("hash").bitwiseAND((1 << 53) - 1)
-        found: dict[tuple, list] = {}
-        for r in classes.where((own >= int(least * (1 << 53))) & (own < int(most * (1 << 53)))).select("label", "vector").limit(limit).toLocalIterator():
-            v = np.array(r.vector, np.float64)
-            v = v / np.abs(v).max()
-            found.setdefault((r.label, len(v)), []).append(v / np.linalg.norm(v))
-        return {k: np.array(p) for k, p in found.items()}
-
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
-    pivots: dict[tuple, np.ndarray] = {}
-    if target:  # about ``target`` pivots, never more than twice that, and other vectors as probes
-        share = target / total
-        pivots = chosen_pivots(drawn(0, share, 2 * target), drawn(share, min(1.0, share + PROBES / total), 2 * PROBES), radius)
+    pivots = chosen_pivots(*_drawn(classes), radius)
     kind = classes.schema["vector"].dataType
     schema = T.StructType([*T._parse_datatype_string("label string, size int, cell long, home boolean, class long, copies long").fields, T.StructField("vector", kind)])
     members = classes.select("label", "class", "copies", "vector").mapInArrow(_cells(pivots, radius), schema)
