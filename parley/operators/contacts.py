@@ -99,29 +99,40 @@ def packed_days(days: DataFrame, budget: int, keys: Sequence[str] = PAIR, order:
     return folded.select(*keys, F.explode(F.arrays_zip("rows", "batches")).alias("x")).select(*keys, f"x.rows.{order}", f"x.rows.{cost}", F.col("x.batches").alias("batch"))
 
 
-NOTE_SCHEMA = "days array<struct<date:string,topics:array<string>,customer_points:array<string>,manager_actions:array<string>,facts:array<string>,pending:array<string>,signals:array<struct<code:string,status:string,evidence:string>>>>"
+# Each part of an answer is read on its own, so that one that is not as it should be does not spoil the others.
+ANSWER_SCHEMA = "days array<string>"
+DAY_SCHEMA = "date string, topics array<string>, customer_points array<string>, manager_actions array<string>, facts array<string>, pending array<string>, signals array<string>"
+SIGNAL_SCHEMA = "code string, status string, evidence string"
 LIST_LIMITS = {"topics": 3, "customer_points": 3, "manager_actions": 2, "facts": 3, "pending": 3}  # fixed values
 
 
+def answer_fault(answer: Column) -> Column:
+    """Why an answer says nothing of its days; null where it has an array of days, an empty one too."""
+    days = F.from_json(json_object(answer), ANSWER_SCHEMA)["days"]
+    return F.when(answer.isNull(), "no answer").when(days.isNull(), "no array of days in the answer")
+
+
 def parsed_notes(answers: DataFrame, transcripts: DataFrame, codes: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(notes, signals) of model answers (pair…, answer) against transcripts (pair…, stat_date, text).
 
-    Only days that were asked for, the first of each; items are collapsed, clipped and capped. Of a day's signals
-    the known codes with status open or closed, the first of each code and so many at most; evidence is verified
-    when its key is part of the transcript's key.
+    Only days that were asked for (in the same batch, if both have one), the first of each; items are collapsed, clipped
+    and capped. Of a day's signals the known codes with status open or closed, the first of each code and so many at
+    most; evidence is verified when its key is part of the transcript's key.
     """
     keys = list(PAIR)
-    days = answers.select(*keys, F.posexplode(F.from_json(json_object(F.col("answer")), NOTE_SCHEMA)["days"]).alias("no", "d"))
-    days = days.select(*keys, "no", F.expr("try_cast(trim(d.date) as date)").alias("stat_date"), "d")
+    by = [*keys, "batch"] if "batch" in answers.columns and "batch" in transcripts.columns else keys
+    days = answers.select(*by, F.posexplode(F.from_json(json_object(F.col("answer")), ANSWER_SCHEMA)["days"]).alias("no", "_raw"))
+    days = days.withColumn("d", F.from_json("_raw", DAY_SCHEMA)).withColumn("_date", F.trim("d.date"))
+    days = days.select(*by, "no", F.when(F.col("_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr("try_cast(_date as date)")).alias("stat_date"), "d")
     w = Window.partitionBy(*keys, "stat_date").orderBy("no")
-    days = days.join(transcripts, [*keys, "stat_date"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "no")
+    days = days.join(transcripts, [*by, "stat_date"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "no")
 
     def items(name: str) -> Column:
         clean = F.transform(F.coalesce(F.col(f"d.{name}"), F.array().cast("array<string>")), lambda v: F.substring(collapse(F.coalesce(v, F.lit(""))), 1, s.item_chars))
         return F.slice(F.filter(clean, lambda v: v != ""), 1, LIST_LIMITS[name]).alias(name)
 
     notes = days.select(*keys, "stat_date", *(items(c) for c in LIST_LIMITS))
-    signals = days.select(*keys, "stat_date", "text", F.posexplode("d.signals").alias("no", "x"))
+    signals = days.select(*keys, "stat_date", "text", F.posexplode("d.signals").alias("no", "_raw")).withColumn("x", F.from_json("_raw", SIGNAL_SCHEMA))
     signals = signals.select(*keys, "stat_date", "text", "no", F.upper(F.trim("x.code")).alias("code"), F.lower(F.trim("x.status")).alias("status"), F.substring(F.regexp_replace(F.trim(F.coalesce("x.evidence", F.lit(""))), "^[“”\"'「」 ]+|[“”\"'「」 ]+$", ""), 1, s.evidence_chars).alias("evidence"))
     signals = signals.join(codes.select("code"), "code", "left_semi").where(F.col("status").isin("open", "closed"))
     first = Window.partitionBy(*keys, "stat_date", "code").orderBy("no")
@@ -133,6 +144,25 @@ def parsed_notes(answers: DataFrame, transcripts: DataFrame, codes: DataFrame, s
     return notes, signals.select(*keys, "stat_date", "no", "code", "status", "evidence", verified.alias("verified"))
 
 
+def note_states(due: DataFrame, answers: DataFrame, notes: DataFrame, signals: DataFrame) -> DataFrame:
+    """Adds status, error and the lists of a note to days that were due (pair…, stat_date, text, batch; text is null where nothing is left to ask).
+
+    no_business: no line was left, or a valid answer has nothing on the day, named or not. failed: no valid answer.
+    ok: an item or a known signal.
+    """
+    day = [*PAIR, "stat_date"]
+    empty = F.array().cast("array<string>")
+    said = answers.select(*PAIR, "batch", F.lit(True).alias("_said"), answer_fault(F.col("answer")).alias("_fault"))
+    marked = signals.select(*day).distinct().withColumn("_signals", F.lit(True))
+    rows = due.join(said, [*PAIR, "batch"], "left").join(notes, day, "left").join(marked, day, "left")
+    fault = F.when(F.col("text").isNotNull(), F.when(F.col("_said").isNull(), "no answer").otherwise(F.col("_fault")))
+    content = F.coalesce("_signals", F.lit(False))
+    for c in LIST_LIMITS:
+        content = content | (F.size(F.coalesce(c, empty)) > 0)
+    status = F.when(fault.isNotNull(), "failed").when(content, "ok").otherwise("no_business")
+    return rows.withColumns({"status": status, "error": fault, **{c: F.coalesce(c, empty) for c in LIST_LIMITS}}).drop("_said", "_fault", "_signals")
+
+
 def signal_timeline(events: DataFrame, codes: DataFrame, keys: Sequence[str] = PAIR, s: Settings = DEFAULTS) -> DataFrame:
     """One row for each pair and known code: where it stands after its last event, since when, and on how many days it was open.
 
@@ -163,6 +193,31 @@ def open_signals(events: DataFrame, before: Column | None = None, keys: Sequence
     return rows.where(F.col("closed").isNull() | (at > F.col("closed"))).groupBy(*keys, "code").agg(F.min("event_date").alias("since"))
 
 
+def open_on_days(days: DataFrame, events: DataFrame, keys: Sequence[str] = PAIR, day: str = "stat_date", s: Settings = DEFAULTS) -> DataFrame:
+    """(keys…, day, code, since): for each of many days the codes that are open ahead of it, from the look-back's events before it.
+
+    A range join without a nested loop: time is cut into blocks as long as the look-back, and a day meets the events of
+    the two blocks that its look-back reaches into. Events are summed up by day first, so a day of any size is a row.
+    """
+    size = s.signal_lookback_days
+    of_day = lambda status: F.max(F.when(F.col("status") == status, F.col("event_id")))
+    by_date = events.where(F.col("status").isin("open", "closed")).groupBy(*keys, "code", "event_date").agg(of_day("open").alias("_open"), of_day("closed").alias("_closed"))
+    by_date = by_date.withColumn("_block", F.floor(F.unix_date("event_date") / size))
+    reach = F.sequence(F.floor((F.unix_date(day) - size) / size), F.floor((F.unix_date(day) - 1) / size))
+    wanted = days.select(*keys, day).distinct().withColumn("_block", F.explode(reach))
+    met = wanted.join(by_date, [*keys, "_block"]).where((F.col("event_date") >= F.date_sub(day, size)) & (F.col("event_date") < F.col(day)))
+    closed = F.max(F.when(F.col("_closed").isNotNull(), F.struct("event_date", F.col("_closed").alias("id"))))
+    opened = F.collect_list(F.when(F.col("_open").isNotNull(), F.struct("event_date", F.col("_open").alias("id"))))  # a row a day of the look-back at most
+    rows = met.groupBy(*keys, day, "code").agg(closed.alias("_last"), opened.alias("_opened"))
+    late = F.filter("_opened", lambda x: F.col("_last").isNull() | (x > F.col("_last")))
+    return rows.withColumn("since", F.array_min(F.transform(late, lambda x: x["event_date"]))).where("since IS NOT NULL").drop("_last", "_opened")
+
+
+def with_notes(days: DataFrame, notes: DataFrame, keys: Sequence[str] = (*PAIR, "stat_date")) -> DataFrame:
+    """All days (keys…), each with its note's status, fingerprint and prompt version as note_status, note_fp and note_version; null without one."""
+    return days.join(notes.select(*keys, F.col("status").alias("note_status"), F.col("source_fp").alias("note_fp"), F.col("prompt_version").alias("note_version")), list(keys), "left")
+
+
 def missing_days(stats: DataFrame, notes: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """Days with messages that no finished note covers (status ok or no_business)."""
     done = notes.where(F.col("status").isin("ok", "no_business")).select(*keys, F.col("note_date").alias("stat_date"))
@@ -176,9 +231,8 @@ def dates_to_run(wanted: DataFrame, covered: DataFrame, stale: DataFrame) -> Dat
 
 def reusable(days: DataFrame, notes: DataFrame, prompt_version: str, keys: Sequence[str] = (*PAIR, "stat_date")) -> DataFrame:
     """Adds reused: an equal fingerprint was finished under the same prompt version."""
-    old = notes.select(*keys, F.col("status").alias("_status"), F.col("source_fp").alias("_fp"), F.col("prompt_version").alias("_version"))
-    ok = F.col("_status").isin("ok", "no_business") & (F.col("_fp") == F.col("source_fp")) & (F.col("_version") == prompt_version)
-    return days.join(old, list(keys), "left").withColumn("reused", F.coalesce(ok, F.lit(False))).drop("_status", "_fp", "_version")
+    ok = F.col("note_status").isin("ok", "no_business") & (F.col("note_fp") == F.col("source_fp")) & (F.col("note_version") == prompt_version)
+    return with_notes(days, notes, keys).withColumn("reused", F.coalesce(ok, F.lit(False))).drop("note_status", "note_fp", "note_version")
 
 
 def note_list(stats: DataFrame, notes: DataFrame, events: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -269,13 +323,24 @@ def split_tokens(total: Column, parts: Column, number: Column) -> Column:
     return share + F.when(number == 0, total % parts).otherwise(F.lit(0))
 
 
-def provider_answers(prompts: DataFrame, provider, columns: str = "answer string") -> DataFrame:
-    """Adds the answers of a model: ``provider`` maps a list of prompts to a list of texts, a batch at a time on the executors."""
-    schema = T.StructType([*prompts.schema.fields, *T._parse_datatype_string(columns).fields])
+CALL = "struct<status:string,attempts:bigint,tokens:bigint,error:string>"
+
+
+def provider_answers(prompts: DataFrame, provider, columns: str = "answer string", calls: bool = False) -> DataFrame:
+    """Adds the answers of a model: ``provider`` maps a list of prompts to a list of texts, a batch at a time on the executors.
+
+    ``calls``: adds ``call``, what a provider with a log (providers.Asked) noted on the way to each answer; else null.
+    """
+    schema = T.StructType([*prompts.schema.fields, *T._parse_datatype_string(columns).fields, *([T.StructField("call", T._parse_datatype_string(CALL))] if calls else [])])
     name = columns.split()[0]
 
     def run(batches):
         for batch in batches:
-            yield batch.assign(**{name: pd.Series(provider(batch["prompt"].tolist()), index=batch.index, dtype=object)})
+            had = len(getattr(provider, "log", ()))
+            batch = batch.assign(**{name: pd.Series(provider(batch["prompt"].tolist()), index=batch.index, dtype=object)})
+            if calls:
+                noted = [{k: r.get(k) for k in ("status", "attempts", "tokens", "error")} for r in getattr(provider, "log", ())[had:]] or [None] * len(batch)
+                batch = batch.assign(call=pd.Series(noted, index=batch.index, dtype=object))
+            yield batch
 
     return prompts.mapInPandas(run, schema)

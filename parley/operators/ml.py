@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.operators.topics import gated
+from parley.operators.moments import assigned
 from parley.settings import DEFAULTS, Settings
 
 
@@ -42,18 +44,10 @@ def cluster_topics(rows: DataFrame, vector: str = "vector", s: Settings = DEFAUL
         model = Pipeline(stages=stages).fit(data)
     finally:
         data.unpersist()
-    centers = [c.tolist() for c in model.stages[1].clusterCenters()]
-    out = model.transform(checked_vectors(rows, vector).withColumn("_v", array_to_vector(F.col(vector))))
-    center = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in centers)), F.col("topic_id") + 1)
-    gap = F.aggregate(F.zip_with(vector_to_array("_x"), center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    out = out.withColumn("distance", F.sqrt(gap))
-    if s.min_margin > 0 or s.max_distance > 0:  # far or undecided rows are noise
-        all_centers = F.array(*(F.array(*map(F.lit, c)) for c in centers))
-        gaps = F.transform(all_centers, lambda c: F.sqrt(F.aggregate(F.zip_with(vector_to_array("_x"), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)))
-        second = F.try_element_at(F.array_sort(gaps), F.lit(2))
-        out = out.withColumn("margin", (second - F.col("distance")) / F.greatest(second, F.lit(1e-12)))
-        out = gated(out.withColumnRenamed("topic_id", "_topic"), s).drop("_topic", "margin")
-    return out.drop("_v", "_x")
+    pca, means = model.stages
+    out = pca.transform(checked_vectors(rows, vector).withColumn("_v", array_to_vector(F.col(vector)))).withColumn("_x", vector_to_array("_x"))
+    # Rows too far from their centre or too close to a second one are noise, where the settings have gates.
+    return assigned(out.drop("_v"), np.array(means.clusterCenters()), "_x", s).drop("_x", "margin")
 
 
 def mmr(vectors: np.ndarray, k: int, weight: float = 0.6) -> list[int]:
@@ -72,13 +66,14 @@ def mmr(vectors: np.ndarray, k: int, weight: float = 0.6) -> list[int]:
     return picked
 
 
-def representative_texts(pool: DataFrame, k: int = DEFAULTS.picked_docs, topic: str = "topic_id", order: str = "sample_rank") -> DataFrame:
-    """(topic, pick, text) of pools that were sampled down to a bounded number of rows (order, text, vector) each."""
-    schema = T.StructType([pool.schema[topic], T.StructField("pick", T.IntegerType()), T.StructField("text", T.StringType())])
+def representative_texts(pool: DataFrame, k: int = DEFAULTS.picked_docs, topic: str | Sequence[str] = "topic_id", order: str = "sample_rank") -> DataFrame:
+    """(topic…, pick, text) of pools that were sampled down to a bounded number of rows (order, text, vector) each."""
+    by = [topic] if isinstance(topic, str) else list(topic)
+    schema = T.StructType([*(pool.schema[c] for c in by), T.StructField("pick", T.IntegerType()), T.StructField("text", T.StringType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order).reset_index(drop=True)
         picked = mmr(np.stack(rows["vector"].to_list()), k)
-        return pd.DataFrame({topic: rows[topic].iloc[picked].to_numpy(), "pick": range(1, len(picked) + 1), "text": rows["text"].iloc[picked].str.slice(0, 200).to_numpy()})
+        return pd.DataFrame({**{c: rows[c].iloc[picked].to_numpy() for c in by}, "pick": range(1, len(picked) + 1), "text": rows["text"].iloc[picked].str.slice(0, 200).to_numpy()})
 
-    return pool.select(topic, order, "text", "vector").groupBy(topic).applyInPandas(run, schema)
+    return pool.select(*by, order, "text", "vector").groupBy(*by).applyInPandas(run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import contacts, incremental, sessions, topics
-from parley.plans.hotspot_queries import MESSAGES
+from parley.operators import contacts, evidence, incremental, sessions, topics
+from parley.plans import contacts as plan
+from parley.plans.hotspot_queries import MASKED, MESSAGES
 from parley.plans.registry import query
 from parley.settings import Settings
 from parley.sources.readers import event_messages, table
@@ -33,7 +36,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.day_stats(event_messages(spark, sf_dir))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as signals: open from the median value on, every fifth unverified; a note for each pair and day."""
     e = table(spark, sf_dir, "events")
     mid = e.agg(F.percentile("value", 0.5).alias("mid"))
@@ -107,29 +110,29 @@ def packed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     min(event_date) FILTER (status = 'open') AS opened, max(evidence) FILTER (back = 1) AS evidence FROM x GROUP BY ALL)
     SELECT * EXCLUDE (opened), CASE WHEN status = 'closed' THEN opened END AS first_open_date, CASE WHEN category = 'need' THEN open_days >= 2 END AS confirmed, CASE WHEN status = 'closed' THEN last_date END AS closed_date FROM t""")
 def signal_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contacts.signal_timeline(_events(spark, sf_dir), _codes(spark))
+    return contacts.signal_timeline(signal_events(spark, sf_dir), _codes(spark))
 
 
 @query(f"WITH {EVENTS}, cl AS (SELECT manager, customer, code, max(epoch(event_date) * 1000000 + event_id) AS closed_at FROM ev WHERE status = 'closed' GROUP BY 1, 2, 3) SELECT manager, customer, code, min(event_date) AS since FROM ev LEFT JOIN cl USING (manager, customer, code) WHERE status = 'open' AND (closed_at IS NULL OR epoch(event_date) * 1000000 + event_id > closed_at) GROUP BY 1, 2, 3")
 def open_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contacts.open_signals(_events(spark, sf_dir))
+    return contacts.open_signals(signal_events(spark, sf_dir))
 
 
 @query(f"WITH {EVENTS}, e AS (SELECT * FROM ev WHERE event_date >= DATE '2024-01-20' - 90 AND event_date < DATE '2024-01-20'), cl AS (SELECT manager, customer, code, max(epoch(event_date) * 1000000 + event_id)  AS closed_at FROM e WHERE status = 'closed' GROUP BY 1, 2, 3) SELECT manager, customer, code, min(event_date) AS since FROM e LEFT JOIN cl USING (manager, customer, code) WHERE status = 'open' AND (closed_at IS NULL OR epoch(event_date) * 1000000 + event_id > closed_at) GROUP BY 1, 2, 3")
 def open_signals_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals still open ahead of a day, from the 90 days before it."""
-    return contacts.open_signals(_events(spark, sf_dir), F.to_date(F.lit("2024-01-20")))
+    return contacts.open_signals(signal_events(spark, sf_dir), F.to_date(F.lit("2024-01-20")))
 
 
 @query(f"WITH {EVENTS}, {NOTES} SELECT event_id, code, ev.status AS signal_status, event_date, note_id FROM ev JOIN nt USING (note_id) WHERE verified AND nt.status = 'ok'")
 def signal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contacts.signal_list(_events(spark, sf_dir), _notes(spark, sf_dir)).select("event_id", "code", F.col("status").alias("signal_status"), "event_date", "note_id")
+    return contacts.signal_list(signal_events(spark, sf_dir), _notes(spark, sf_dir)).select("event_id", "code", F.col("status").alias("signal_status"), "event_date", "note_id")
 
 
 @query(f"{DAYS}, {EVENTS}, {NOTES} SELECT note_id, nt.manager, nt.customer, note_date, nt.status, msg_count, session_count, e.event_id, e.code FROM nt LEFT JOIN st ON st.manager = nt.manager AND st.customer = nt.customer AND st.stat_date = nt.note_date LEFT JOIN ev e USING (note_id)")
 def note_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with statistics and nested signals, shown a signal a row."""
-    rows = contacts.note_list(_stats(spark, sf_dir), _notes(spark, sf_dir), _events(spark, sf_dir))
+    rows = contacts.note_list(_stats(spark, sf_dir), _notes(spark, sf_dir), signal_events(spark, sf_dir))
     return rows.select("note_id", "manager", "customer", "note_date", "status", "msg_count", "session_count", F.explode_outer("signals").alias("x")).select("*", "x.event_id", "x.code").drop("x")
 
 
@@ -159,13 +162,13 @@ def evidence_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that are evidenced by a text, of any language: spaces and marks left out, as evidence of notes is checked."""
     items = table(spark, sf_dir, "benchmark").select("item_id", text.evidence_key(F.col("text")).alias("item")).where("item <> ''")
     docs = table(spark, sf_dir, "documents").select("doc_id", text.evidence_key(F.col("text")).alias("key"))
-    return docs.join(items, F.contains("key", "item")).select("doc_id", "item_id")
+    return evidence.contained(docs, items)
 
 
 @query(f"WITH {EVENTS} SELECT a.event_id, b.user_id % 100 AS source, {_KEY.replace('text', 'evidence')} <> '' AND contains({_KEY.replace('text', 'b.props')}, {_KEY.replace('text', 'evidence')}) AS verified FROM ev a JOIN events b ON b.event_id = a.event_id + 1")
 def verified_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an event's text is evidenced by that of the next one."""
-    e, after = _events(spark, sf_dir), table(spark, sf_dir, "events").select((F.col("event_id") - 1).alias("event_id"), F.col("props").alias("source_text"), (F.col("user_id") % 100).alias("source"))
+    e, after = signal_events(spark, sf_dir), table(spark, sf_dir, "events").select((F.col("event_id") - 1).alias("event_id"), F.col("props").alias("source_text"), (F.col("user_id") % 100).alias("source"))
     return e.join(after, "event_id").select("event_id", "source", text.is_evidenced(F.col("evidence"), F.col("source_text")).alias("verified"))
 
 
@@ -229,21 +232,65 @@ def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.coalesce("answer", F.lit(0))).alias("answers"))
 
 
-@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(left(text, 40 + doc_id % 400), '[\\s\\x{0b}\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g')) AS t, doc_id % 5 AS days FROM documents),
-b AS (SELECT *, CASE WHEN days <= 1 THEN 50 WHEN days <= 3 THEN 80 ELSE 100 END AS low, CASE WHEN days <= 1 THEN 180 WHEN days <= 3 THEN 260 ELSE 360 END AS high FROM t)
-SELECT doc_id, t = '' AS empty, length(t) > high AS too_long, t <> '' AND length(t) < low AS too_short, regexp_matches(t, '(^|[^A-Za-z0-9])[A-Z]+_[A-Z_]+($|[^A-Za-z0-9])') AS internal FROM b""")
+_FORBIDDEN = " OR ".join(f"contains(t, '{word}')" for word in contacts.FORBIDDEN)
+_COLLAPSED = r"""trim(regexp_replace(coalesce(text, ''), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"""
+
+
+@query(MASKED.replace("SELECT doc_id, text AS t FROM documents", f"SELECT doc_id, {_COLLAPSED} AS t FROM documents") + rf""", p AS (
+    SELECT doc_id, a.t, x.t <> a.t AS personal, doc_id % 5 AS days, replace(regexp_replace(coalesce(text, ''), '[\s\x{{0b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', '', 'g'), '5', '') AS source FROM a JOIN x USING (doc_id) JOIN documents USING (doc_id)
+), l AS (SELECT *, CASE WHEN days <= 1 THEN 50 WHEN days <= 3 THEN 80 ELSE 100 END AS low, CASE WHEN days <= 1 THEN 180 WHEN days <= 3 THEN 260 ELSE 360 END AS high FROM p)
+SELECT doc_id, t = '' AS empty, regexp_matches(t, '{contacts.CONTACT_COUNT}') AS contact_count, length(t) > high AS too_long, t <> '' AND length(t) < low AS too_short,
+    len(list_filter(regexp_extract_all(t, '\d+(?:\.\d+)?[\t\n\f\r ]*(?:%|％|万|元|亿)'), lambda n: NOT contains(source, replace(n, ' ', '')))) > 0 AS unknown_number,
+    personal, {_FORBIDDEN} OR regexp_matches(t, '(^|[^A-Za-z0-9])[A-Z]+_[A-Z_]+($|[^A-Za-z0-9])') AS internal FROM l""")
 def summary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules that the beginnings of texts break as summaries, by name."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr("left(text, CAST(40 + doc_id % 400 AS INT))").alias("summary"), (F.col("doc_id") % 5).alias("days"), "text")
-    found = rows.select("doc_id", contacts.summary_faults(F.col("summary"), F.col("text"), F.col("days")).alias("faults"))
-    return found.select("doc_id", *(F.array_contains("faults", rule).alias(name) for name, rule in (("empty", "empty"), ("too_long", "too long"), ("too_short", "too short"), ("internal", "internal term"))))
+    """The rules that whole texts break as summaries, by name; as source each has itself without the digit 5."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 5).alias("days"))
+    found = rows.select("doc_id", contacts.summary_faults(F.col("text"), F.replace(F.col("text"), F.lit("5"), F.lit("")), F.col("days")).alias("faults"))
+    rules = {"empty": "empty", "contact_count": "contact count", "too_long": "too long", "too_short": "too short", "unknown_number": "unknown number", "personal": "personal data", "internal": "internal term"}
+    return found.select("doc_id", *(F.array_contains("faults", rule).alias(name) for name, rule in rules.items()))
 
 
-@query(f"{DAYS}, {NOTES} SELECT manager, customer, stat_date, nt.status AS note_status, nt.status IN ('ok', 'no_business') AS done FROM st JOIN nt ON nt.manager = st.manager AND nt.customer = st.customer AND nt.note_date = st.stat_date" .replace("SELECT manager, customer, stat_date, nt", "SELECT st.manager, st.customer, stat_date, nt"))
+@query(f"{DAYS}, {NOTES} SELECT st.manager, st.customer, stat_date, nt.status AS note_status, coalesce(nt.status IN ('ok', 'no_business') AND nt.note_id % 3 > 0 AND nt.note_id % 5 > 0, false) AS reused FROM st LEFT JOIN nt ON nt.manager = st.manager AND nt.customer = st.customer AND nt.note_date = st.stat_date")
 def existing_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pair-days that have a note, with its state."""
-    notes = _notes(spark, sf_dir).select("manager", "customer", F.col("note_date").alias("stat_date"), F.col("status").alias("note_status"))
-    return _stats(spark, sf_dir).join(notes, ["manager", "customer", "stat_date"]).select("manager", "customer", "stat_date", "note_status", F.col("note_status").isin("ok", "no_business").alias("done"))
+    """All pair-days with their note's state, null where there is none, and whether it may be used again: a third of the notes has an old fingerprint, a fifth an old prompt."""
+    days = _stats(spark, sf_dir).select("manager", "customer", "stat_date", "source_fp")
+    n = F.col("note_id")
+    notes = _notes(spark, sf_dir).withColumnRenamed("note_date", "stat_date").withColumn("prompt_version", F.when(n % 5 > 0, "2").otherwise("1"))
+    stored = notes.join(days, ["manager", "customer", "stat_date"], "left").withColumn("source_fp", F.when(n % 3 > 0, F.col("source_fp")).otherwise("old"))
+    rows = contacts.reusable(contacts.with_notes(days, stored).drop("note_fp", "note_version").withColumnRenamed("note_status", "state"), stored, "2")
+    return rows.select("manager", "customer", "stat_date", F.col("state").alias("note_status"), "reused")
+
+
+@query(f"""{DAYS}, {EVENTS}, j AS (SELECT st.manager, st.customer, st.stat_date, e.code, e.status, e.event_date, epoch(e.event_date) * 1000000 + e.event_id AS moment FROM st JOIN ev e ON e.manager = st.manager AND e.customer = st.customer AND e.event_date >= st.stat_date - 7 AND e.event_date < st.stat_date),
+    cl AS (SELECT manager, customer, stat_date, code, max(moment) AS closed_at FROM j WHERE status = 'closed' GROUP BY ALL)
+    SELECT manager, customer, stat_date, code, min(event_date) AS since FROM j LEFT JOIN cl USING (manager, customer, stat_date, code) WHERE status = 'open' AND (closed_at IS NULL OR moment > closed_at) GROUP BY ALL""")
+def open_signals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every day of every pair the signals that are open ahead of it, from the seven days before."""
+    return contacts.open_on_days(_stats(spark, sf_dir), signal_events(spark, sf_dir), s=Settings(signal_lookback_days=7))
+
+
+def _stub_answers(prompts: list[str]) -> list[str | None]:
+    """Answers by the day of the month of a prompt's only day: no JSON, no days, an unnamed, an empty and a full one."""
+    out: list[str | None] = []
+    for prompt in prompts:
+        date = prompt[1:11]
+        n = int(date[-2:])
+        full = {"date": date, "topics": [f"t{n}", " "], "signals": [{"code": "VIEW", "status": "open", "evidence": "{"}, {"code": "none", "status": "open"}]}
+        days = {0: [{"date": date}], 1: [full], 2: [], 3: [{**full, "topics": None}]}[n % 4]
+        out.append(None if n % 9 == 8 else "no json" if n % 5 == 4 else json.dumps({"has_business_content": bool(days), "days": days}))
+    return out
+
+
+@query(f"""{DAYS}, k AS (SELECT manager, customer, stat_date AS note_date, day(stat_date) AS n FROM st)
+    SELECT manager, customer, note_date, CASE WHEN n % 7 = 3 THEN 'no_business' WHEN n % 9 = 8 OR n % 5 = 4 THEN 'failed' WHEN n % 4 IN (1, 3) THEN 'ok' ELSE 'no_business' END AS status,
+    CASE WHEN n % 7 = 3 THEN NULL WHEN n % 9 = 8 THEN 'no answer' WHEN n % 5 = 4 THEN 'no array of days in the answer' END AS error,
+    CASE WHEN n % 7 <> 3 AND n % 9 <> 8 AND n % 5 <> 4 AND n % 4 = 1 THEN 't' || n ELSE '' END AS topics FROM k""")
+def note_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of all pair-days' notes, from a stand-in for the model; on some days nothing is left to ask."""
+    rows = event_messages(spark, sf_dir).withColumn("content", F.when(F.dayofmonth("msg_time") % 7 == 3, " ").otherwise(F.col("content")))
+    codes = _codes(spark).withColumn("code", F.upper("code"))
+    _, notes, _ = plan.daily_notes(rows, codes, _stub_answers, s=Settings(batch_tokens=1))
+    return notes.select("manager", "customer", "note_date", "status", "error", F.array_join("topics", ",").alias("topics"))
 
 
 @query("SELECT user_id, CAST(floor(greatest(40 - user_id % 50, 0) * (CASE WHEN user_id % 3 = 0 THEN 1800.0 ELSE (user_id * 7) / greatest(user_id % 4, 1)::DOUBLE END) / (27000.0 / 60)) AS BIGINT) AS eta FROM (SELECT DISTINCT user_id FROM events WHERE user_id > 0)")
@@ -281,8 +328,10 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily notes as lines within a pair's budget, priority days last to go."""
+    """Daily notes as lines within a pair's budget, priority days last to go; their words and numbers of items vary by note."""
     n = _notes(spark, sf_dir).where("status = 'ok'")
-    words = F.split(F.lit("deposit fund"), " ")
-    rows = n.select("manager", "customer", "note_date", words.alias("topics"), words.alias("customer_points"), F.array().cast("array<string>").alias("manager_actions"), words.alias("facts"), (F.dayofmonth("note_date") % 5 == 0).alias("priority"))
+    words = lambda salt, most: F.transform(F.sequence(F.lit(0), (F.pmod(F.xxhash64("note_id", F.lit(salt)), F.lit(most))).cast("int")), lambda k: F.concat(F.lit(salt), F.repeat(F.lit("x"), F.pmod(F.xxhash64("note_id", k), F.lit(9)).cast("int"))))
+    none = F.array().cast("array<string>")
+    some = F.when(F.col("note_id") % 3 == 0, none)
+    rows = n.select("manager", "customer", "note_date", words("t", 3).alias("topics"), some.otherwise(words("p", 3)).alias("customer_points"), some.otherwise(none).alias("manager_actions"), words("f", 2).alias("facts"), (F.dayofmonth("note_date") % 5 == 0).alias("priority"))
     return contacts.fitted_notes(rows, 120)

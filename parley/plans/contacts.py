@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 from parley.functions.text import estimate_tokens, period_label, window_label
 from parley.operators import contacts, sessions
 from parley.settings import DEFAULTS, Settings
+from parley.sources import work
 
 Provider = Callable[[list[str]], list[str]]
 
 
-def daily_notes(messages: DataFrame, codes: DataFrame, provider: Provider, stored: DataFrame | None = None, prompt_version: str = "1", chitchat: DataFrame | None = None, before: DataFrame | None = None, write: Callable[[DataFrame], DataFrame] | None = None, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def daily_notes(
+    messages: DataFrame, codes: DataFrame, provider: Provider, stored: DataFrame | None = None, prompt_version: str = "1", chitchat: DataFrame | None = None, before: DataFrame | None = None,
+    write: Callable[[DataFrame], DataFrame] | None = None, events: DataFrame | None = None, calls: Callable[[DataFrame], None] | None = None, s: Settings = DEFAULTS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statistics, notes, signals) of pair messages. Days whose fingerprint is stored are not asked again.
 
-    A day without lines after cleaning is no_business. The rest is packed into prompts by a budget of tokens. ``before``:
-    stored statistics of earlier days, for sessions that cross midnight. ``write`` stores the model's answers and reads
-    them again (Store.written), so that a lost executor never makes the model answer anew and differently.
+    A day without lines after cleaning is no_business. The rest is packed into prompts by a budget of tokens; a prompt
+    begins with the pair's signals that are open ahead of its first day, from ``events`` (verified ones of finished
+    notes: pair…, event_id, code, status, event_date). ``before``: stored statistics of earlier days, for sessions that
+    cross midnight. ``write`` stores what was due and the model's answers and reads them again (Store.written; by default
+    in the shared folder), so that a lost executor never makes the model answer anew and differently. ``calls`` gets one row for each prompt: pair, batch, days and what
+    the provider noted of the call. Store.save_notes() keeps the results.
     """
+    write = write or work.written
     keys = list(contacts.PAIR)
     day = [*keys, "stat_date"]
     stats = sessions.day_stats(messages, s=s, before=before)
@@ -32,19 +40,25 @@ def daily_notes(messages: DataFrame, codes: DataFrame, provider: Provider, store
         wanted = stats.select(*day, "source_fp")
     else:
         wanted = contacts.reusable(stats, stored.withColumnRenamed("note_date", "stat_date"), prompt_version).where("NOT reused").select(*day, "source_fp")
-    due = wanted.join(transcripts, day, "left")
+    due = write(wanted.join(transcripts, day, "left"))
     asked = due.where("text IS NOT NULL").withColumn("tokens", estimate_tokens(F.concat(F.lit("[2000-01-01]\n"), F.col("text"))))
-    batches = contacts.packed_days(asked, s.batch_tokens).drop("tokens").join(asked, day)
+    batches = contacts.packed_days(asked, s.batch_tokens).drop("tokens")
+    due = write(due.join(batches, day, "left"))
+    asked = due.where("batch IS NOT NULL")
     one = F.concat(F.lit("["), F.col("stat_date").cast("string"), F.lit("]\n"), F.col("text"))
-    prompts = batches.groupBy(*keys, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stat_date", one.alias("p")))), lambda x: x["p"]), "\n\n").alias("prompt"))
-    answers = contacts.provider_answers(prompts, provider)
-    answers = answers.persist() if write is None else write(answers)
-    notes, signals = contacts.parsed_notes(answers, asked.select(*day, "text"), codes, s)
-    empty = F.array().cast("array<string>")
-    columns = list(contacts.LIST_LIMITS)
-    found = due.join(notes, day, "left")
-    status = F.when(F.col("text").isNull(), "no_business").when(F.col("topics").isNull(), "failed").otherwise("ok")
-    found = found.select(F.concat_ws(":", *day).alias("note_id"), *keys, F.col("stat_date").alias("note_date"), status.alias("status"), "source_fp", F.lit(prompt_version).alias("prompt_version"), *(F.coalesce(c, empty).alias(c) for c in columns))
+    days = F.array_sort(F.collect_list(F.struct("stat_date", one.alias("p"))))
+    prompts = asked.groupBy(*keys, "batch").agg(F.min("stat_date").alias("stat_date"), F.count("*").alias("days"), F.array_join(F.transform(days, lambda x: x["p"]), "\n\n").alias("prompt"))
+    if events is not None:
+        line = F.concat(F.lit("- "), "code", F.lit(" ("), F.date_format("since", "MM-dd"), F.lit(")"))
+        known = contacts.open_on_days(prompts, events, s=s).join(codes.select("code"), "code", "left_semi")
+        known = known.groupBy(*day).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("since", "code", line.alias("l")))), lambda x: x["l"]), "\n").alias("_open"))
+        prompts = prompts.join(known, day, "left").withColumn("prompt", F.concat(F.lit("open signals:\n"), F.coalesce("_open", F.lit("none")), F.lit("\n\n"), "prompt")).drop("_open")
+    answers = write(contacts.provider_answers(prompts, provider, calls=calls is not None))
+    if calls is not None:
+        calls(answers.select(*keys, "batch", "days", F.length("prompt").alias("prompt_chars"), "call.*"))
+    notes, signals = contacts.parsed_notes(answers, asked.select(*day, "batch", "text"), codes, s)
+    found = contacts.note_states(due, answers, notes, signals)
+    found = found.select(F.concat_ws(":", *day).alias("note_id"), *keys, F.col("stat_date").alias("note_date"), "status", "source_fp", F.lit(prompt_version).alias("prompt_version"), *contacts.LIST_LIMITS, "error")
     return stats, found, signals.withColumn("note_id", F.concat_ws(":", *day))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import hashing, text, vectors
-from parley.operators import departments, incremental, ml, sessions, topics, trend
+from parley.operators import departments, incremental, ml, moments, sessions, topics, trend
 from parley.plans.registry import query
 from parley.settings import Settings
 from parley.sources import readers
@@ -102,14 +102,14 @@ def crc_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
-_MASKED = r"""WITH a AS (SELECT doc_id, text AS t FROM documents),
+MASKED = r"""WITH a AS (SELECT doc_id, text AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9])', '\1[身份证]\2', 'g'), '(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9])', '\1[身份证]\2', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(t, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[邮箱]', 'g') AS t FROM b),
 d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^0-9])[0-9]{16,19}($|[^0-9])', '\1[卡号]\2', 'g'), '(^|[^0-9])[0-9]{16,19}($|[^0-9])', '\1[卡号]\2', 'g') AS t FROM c),
 x AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[手机号]\2', 'g'), '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[手机号]\2', 'g') AS t FROM d)"""
 
 
-@query(f"{_MASKED} SELECT doc_id, md5(t) AS masked_md5, length(t) AS masked_length FROM x")
+@query(f"{MASKED} SELECT doc_id, md5(t) AS masked_md5, length(t) AS masked_length FROM x")
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = text.mask_pii(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(masked).alias("masked_md5"), F.length(masked).cast("long").alias("masked_length"))
@@ -346,6 +346,23 @@ def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_volume(out)
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT i, avg(x) AS mean, count(*) AS n FROM e GROUP BY 1)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, p.n, round(p.mean, 6) + 0.0 AS mean, round(sum((a.x - p.mean) * (b.x - q.mean)), 4) + 0.0 AS scatter FROM e a JOIN e b USING (vec_id) JOIN m p ON p.i = a.i JOIN m q ON q.i = b.i GROUP BY 1, 2, 3, 4""")
+def merged_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and scatter of all vectors, merged from the sketches of seven days (by number) without their rows."""
+    rows = topic_vectors(spark, sf_dir).select((F.col("n") % 7).alias("day"), "vector")
+    out = moments.merged_moments(moments.moments(rows, ["day"]).drop("day"))
+    out = out.select("i", "n", F.element_at("mean", F.col("i") + 1).alias("mean"), F.posexplode("scatter").alias("j", "scatter"))
+    return out.select("i", "j", "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), (F.round("scatter", 4) + F.lit(0.0)).alias("scatter"))
+
+
+@query()
+def incremental_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and messages of each topic of the batch-wise clustering."""
+    rows = topic_vectors(spark, sf_dir).select("session_id", "msg_count", "customer", "vector")
+    return topics.topic_volume(moments.incremental_topics(rows, s=Settings(clusters=10)))
+
+
 @query()
 def diverse_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to eight diverse texts of each topic's pool."""
@@ -362,7 +379,7 @@ def topic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("n").alias("vec_id"), F.round(vectors.cosine(F.col("vector"), F.col("centroid")), 6).alias("similarity"))
 
 
-@query(f"{SESSIONS.replace('min(msg_time) AS started', chr(39)+chr(39)+' AS _x, string_agg(content, '+chr(39)+' '+chr(39)+' ORDER BY msg_time, id) AS text, min(msg_time) AS started')} SELECT topic_id, customer, session_seq, msg_count, md5(text) AS text_hash FROM ses")
+@query(f"{SESSIONS}, x AS (SELECT topic_id, customer, CAST(seq AS BIGINT) AS session_seq, count(*) AS msg_count, string_agg(content, ' ' ORDER BY msg_time, id) AS text FROM s GROUP BY 1, 2, 3) SELECT topic_id, customer, session_seq, msg_count, md5(text) AS text_hash FROM x")
 def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with the fingerprint of their joined and masked texts, in message order."""
     kept = event_messages(spark, sf_dir).where("from_customer")

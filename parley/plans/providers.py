@@ -64,6 +64,13 @@ class SlidingWindow:
         self.log: deque[list[float]] = deque()
         self.paused = 0.0
 
+    def __getstate__(self) -> dict:
+        """Travels to the workers without its lock."""
+        return {k: v for k, v in self.__dict__.items() if k != "lock"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"lock": threading.Lock()}
+
     def wait(self, tokens: int) -> float:
         """Seconds until a call with so many tokens fits; 0 registers it. More than the window holds is refused."""
         if tokens > self.most_tokens:

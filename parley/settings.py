@@ -20,6 +20,10 @@ class Settings:
     pca_components: int = 10
     clusters: int = 150
     seed: int = 42
+    init_sample: int = 3000
+    train_batches: int = 4
+    train_epochs: int = 2
+    moment_days: int = 1  # days whose vectors the principal components are of
     max_distance: float = 0.0  # 0: no gate
     min_margin: float = 0.0
     merge_similarity: float = 0.85
