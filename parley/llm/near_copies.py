@@ -38,6 +38,7 @@ SHINGLE = 5
 LEAST = (4, 5)  # a Jaccard similarity of 4/5 and more
 BANDS, ROWS = 48, 6
 CHUNK_ROWS = 256
+SALTS = 64  # tasks that the members of a large component go to where they are told what it is like
 CHUNK_BYTES = 8 << 20
 MARKS = "row long, fp long, sketch binary, slack long, keys array<long>, ties array<long>"
 PLACES = 256  # of a sketch, two bits each
@@ -277,10 +278,17 @@ def _sequence(first, last) -> Column:
     return F.when(last >= first, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
+def _told(members: DataFrame, each: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """members.join(each, by) for ``each`` with one row a key: a key's members go to SALTS tasks, as one may have most of them."""
+    each = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("row", F.lit("salt")), F.lit(SALTS)).cast("int")).join(each, [*by, "salt"], how).drop("salt")
+
+
 def _chunked(members: DataFrame, by: list[str]) -> DataFrame:
     """Adds the row's chunk among those with the same ``by``, and how many chunks these have."""
     n = members.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
-    return members.join(n, by).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")))
+    rows = _told(members, n.where("chunks > 1"), by, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")))
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
@@ -305,12 +313,12 @@ def near_copies(texts: DataFrame) -> DataFrame:
     left = members.where("chunks > 1").select("row", "root", "bytes").join(label.select(F.col("node").alias("row"), F.col("root").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row"))
     groups = left.groupBy("root", "label").agg(F.count("*").alias("n"))
     largest = groups.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    left = left.join(largest, "root").select("row", "root", "bytes", "label", (F.col("label") != F.col("largest")).alias("outside"))
+    left = _told(left, largest, ["root"]).select("row", "root", "bytes", "label", (F.col("label") != F.col("largest")).alias("outside"))
     left = checkpointed(_chunked(left, ["root", "outside"]))
     if left.isEmpty():
         return label.union(label.select("root", "root").distinct())
     per = left.groupBy("root").agg(F.max(F.when(F.col("outside"), F.col("chunks"))).alias("o"), F.max(F.when(~F.col("outside"), F.col("chunks"))).alias("m"))
-    left = left.join(per, "root")
+    left = _told(left, per, ["root"])
     o, m = F.col("o"), F.col("m")
     # Block (i, j) of outside chunks i <= j, and (i, o + j) of an outside chunk and one of the largest group.
     wide = o + m
