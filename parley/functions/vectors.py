@@ -28,3 +28,8 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 when both are empty."""
     union = F.size(F.array_union(a, b))
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), union), F.lit(0.0))
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    """All elements of ``a`` are in ``b``; an empty array is in every one, and nothing but it in a null one."""
+    return F.size(F.array_except(a, F.coalesce(b, F.slice(a, F.lit(1), F.lit(0))))) == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import clip_line, collapse, estimate_tokens, evidence_key, json_object, mask_pii, numbers_in, period_label, without_space
+from parley.functions.vectors import is_subset
 from parley.settings import DEFAULTS, Settings
 
 PAIR = ("manager", "customer")
@@ -224,6 +225,20 @@ def missing_days(stats: DataFrame, notes: DataFrame, keys: Sequence[str] = PAIR)
     return stats.select(*keys, "stat_date").distinct().join(done, [*keys, "stat_date"], "left_anti")
 
 
+def requested(rows: DataFrame, wanted: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
+    """The rows of the pairs that were asked for, each once however often it was."""
+    return rows.join(wanted.select(*keys), list(keys), "left_semi")
+
+
+def covering_jobs(jobs: DataFrame, requests: DataFrame, by: Sequence[str] = ("manager",)) -> DataFrame:
+    """(by…, request, job): finished jobs whose customers include all that a request names; of several the first one.
+
+    ``jobs``: by…, job, customers; ``requests``: by…, request, customers (arrays).
+    """
+    met = requests.withColumnRenamed("customers", "_wanted").join(jobs.withColumnRenamed("customers", "_done"), list(by))
+    return met.where(is_subset(F.col("_wanted"), F.col("_done"))).groupBy(*by, "request").agg(F.min("job").alias("job"))
+
+
 def dates_to_run(wanted: DataFrame, covered: DataFrame, stale: DataFrame) -> DataFrame:
     """(wanted - covered) and all that is stale; each of one date column."""
     return wanted.select("stat_date").exceptAll(covered.select("stat_date").distinct()).union(stale.select("stat_date")).distinct()

@@ -269,6 +269,25 @@ def open_signals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.open_on_days(_stats(spark, sf_dir), signal_events(spark, sf_dir), s=Settings(signal_lookback_days=7))
 
 
+@query(f"{DAYS} SELECT manager, customer, stat_date, msg_count FROM st WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = st.customer AND c_acctbal > 5000)")
+def requested_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of requested customers: those whose account is high."""
+    wanted = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("customer"))
+    return contacts.requested(_stats(spark, sf_dir).select("manager", "customer", "stat_date", "msg_count"), wanted, ["customer"])
+
+
+@query(f"""{DAYS}, w AS (SELECT manager, stat_date AS request, customer FROM st WHERE customer % 3 = 0 AND stat_date < DATE '2024-01-16'), j AS (SELECT manager, stat_date AS job, customer FROM st WHERE stat_date >= DATE '2024-01-16'),
+    r AS (SELECT DISTINCT manager, request FROM w), d AS (SELECT DISTINCT manager, job FROM j)
+    SELECT manager, request, min(job) AS job FROM r JOIN d USING (manager) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.manager = r.manager AND w.request = r.request AND NOT EXISTS (SELECT 1 FROM j WHERE j.manager = d.manager AND j.job = d.job AND j.customer = w.customer)) GROUP BY 1, 2""")
+def reusable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every day of the month's first half and manager, the first day of the second half on which all of that day's customers (every third one) were there."""
+    days = _stats(spark, sf_dir)
+    late = F.col("stat_date") >= F.to_date(F.lit("2024-01-16"))
+    jobs = days.where(late).groupBy("manager", F.col("stat_date").alias("job")).agg(F.collect_set("customer").alias("customers"))
+    requests = days.where(~late & (F.col("customer") % 3 == 0)).groupBy("manager", F.col("stat_date").alias("request")).agg(F.collect_set("customer").alias("customers"))
+    return contacts.covering_jobs(jobs, requests)
+
+
 def _stub_answers(prompts: list[str]) -> list[str | None]:
     """Answers by the day of the month of a prompt's only day: no JSON, no days, an unnamed, an empty and a full one."""
     out: list[str | None] = []

@@ -264,6 +264,15 @@ def department_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drift(spark, sf_dir).select("department", "topic_id", "session_count", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"{_LOCAL} SELECT count(*) AS n, round(min(similarity), 6) AS least, round(quantile_cont(similarity, 0.5), 6) AS median FROM sm JOIN vol USING (department, topic_id) WHERE session_count >= 8")
+def drift_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, minimum and median of the similarities that the drift of departments is judged by."""
+    slices, by = _slices(spark, sf_dir), ["department", "topic_id"]
+    local = topics.topic_volume(slices, by).join(topics.packed(topics.centroids(slices, by), by), by)
+    found = departments.large_enough(departments.similarities(local, _centers(spark, sf_dir)), _DRIFT).agg(*departments.distribution())
+    return found.select("n", *(F.round(c, 6).alias(c) for c in ("least", "median")))
+
+
 @query()
 def department_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes after drifting topics were split where they have parts."""

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from datetime import date as day
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parley.functions.hashing import config_fingerprint
@@ -16,10 +16,11 @@ from parley.functions.segment import segmented
 from parley.functions.text import business_tokens, tokens
 from parley.operators import departments, moments, sessions, topics, trend
 from parley.plans import intents
-from parley.plans.providers import Embed, embedded, hashing_embedder
+from parley.plans.providers import Embed, cacheable, embedded, hashing_embedder
 from parley.settings import DEFAULTS, Settings
 from parley.sources.readers import customer_messages, union_of_shards
 from parley.sources.tables import SCHEMAS, Store
+from parley.sources.versions import Draft, Scope
 
 
 def _day_before(date: str, days: int = 1) -> str:
@@ -62,15 +63,41 @@ def _recorded(store: Store, run: str, date: str, kind: str, status: str, session
     store.append("runs", store.spark.createDataFrame([(run, date, kind, status, sessions, topics, error)], SCHEMAS["runs"]))
 
 
+class Run:
+    """A run's id, and what it notes on the way."""
+
+    def __init__(self, store: Store, date: str, kind: str):
+        self.store, self.date, self.kind, self.id, self.drafts, self.seen = store, date, kind, uuid.uuid4().hex, [], {}
+
+    def draft(self, scope: Scope) -> Draft:
+        self.drafts.append(scope.draft())
+        return self.drafts[-1]
+
+    def observed(self, stage: str) -> Observation:
+        """An observation whose n, least and median are noted under this stage."""
+        self.seen[stage] = Observation()
+        return self.seen[stage]
+
+    def note(self) -> None:
+        """Rows and seconds of every table that was written, and what was observed: counted in the jobs that ran anyway."""
+        rows = [(self.id, self.date, self.kind, table, n, seconds, None, None) for d in self.drafts for table, n, seconds in d.stages]
+        rows += [(self.id, self.date, self.kind, stage, x["n"], None, x["least"], x["median"]) for stage, o in self.seen.items() if (x := o.get)]
+        if rows:
+            self.store.append("stages", self.store.spark.createDataFrame(rows, SCHEMAS["stages"]))
+
+
 @contextmanager
-def _run(store: Store, date: str, kind: str) -> Iterator[str]:
-    """A run's id. A run that fails leaves a row that says why; its draft is never published."""
-    run = uuid.uuid4().hex
+def _run(store: Store, date: str, kind: str) -> Iterator[Run]:
+    """A run that fails leaves a row that says why, and the stages that it got through; its draft is never published."""
+    run = Run(store, date, kind)
     try:
         yield run
     except Exception as e:
-        _recorded(store, run, date, kind, "failed", error=f"{type(e).__name__}: {e}"[:500])
+        run.seen = {}  # what did not run to its end was not observed
+        run.note()
+        _recorded(store, run.id, date, kind, "failed", error=f"{type(e).__name__}: {e}"[:500])
         raise
+    run.note()
 
 
 def _source_fingerprint(units: DataFrame) -> tuple[int, str]:
@@ -89,7 +116,8 @@ def run_daily(
     All tables of the run become visible together, by a pointer that is written last; a run that dies leaves the day as it
     was. The manifest says by what configuration vectors and words were made, and of which texts. Of equal texts under
     the same ``embed_config`` the vectors are not written again, so that a change of ``dictionary`` or ``stop`` words
-    costs the words alone; else those texts are embedded that no earlier version of the day had. ``force`` embeds all.
+    costs the words alone; else those texts are embedded that no earlier version of the day had, and no other day if they
+    are short enough to be cached. ``force`` embeds all.
     ``provider`` words the topics' intents; without one they are made of the hot words. An empty day is published empty.
     """
     with _run(store, date, "company") as run:
@@ -97,16 +125,21 @@ def run_daily(
         cut, token_fp = words_of(dictionary, han, stop)
         embed_fp = config_fingerprint(embed_config or {"model": "hashing"})
         scope = store.scope("company", date)
-        draft, old = scope.draft(), None if force else store.manifest(date)
-        same = {"stat_date": date, "run_id": run}
+        draft, old = run.draft(scope), None if force else store.manifest(date)
+        same = {"stat_date": date, "run_id": run.id}
         n, source_fp = _source_fingerprint(units)
         known = old is not None and old.embed_fp == embed_fp
         if known and old.source_fp == source_fp:
             draft.keep("vectors", "moments", *(["tokens"] if old.token_fp == token_fp else []))
             rows = scope.read(draft.old, "vectors", SCHEMAS["vectors"])
         else:
-            cache = scope.read(draft.old, "vectors", SCHEMAS["vectors"]).select("text_hash", "vector").dropDuplicates(["text_hash"]) if known else None
-            rows = store.put(draft, "vectors", embedded(units, embed, cache, s=s), config_fp=embed_fp, stat_date=date)
+            cache = None if force else store.read("text_vectors").where(F.col("config_fp") == embed_fp).select("text_hash", "vector")
+            if known:
+                cache = cache.unionByName(scope.read(draft.old, "vectors", SCHEMAS["vectors"]).select("text_hash", "vector"))
+            rows = store.put(draft, "vectors", embedded(units, embed, None if cache is None else cache.dropDuplicates(["text_hash"]), s=s), config_fp=embed_fp, stat_date=date)
+            short = rows.where(cacheable(F.col("text"), s))
+            if not short.isEmpty():
+                store.cache_vectors(short, _day_before(date, s.cache_days))
         if "tokens" in draft.tables:
             words = scope.read(draft.old, "tokens", SCHEMAS["tokens"])
         else:
@@ -135,9 +168,9 @@ def run_daily(
         store.put(draft, "manifests", store.spark.createDataFrame([(draft.tables["vectors"]["rows"], embed_fp, token_fp, source_fp)], "records long, embed_fp string, token_fp string, source_fp string"), **same)
         found = draft.tables["ranked"]["rows"]
         draft.drop("clustered", "members", "ranked")
-        draft.publish(run_id=run)
-        _recorded(store, run, date, "company", "success", n, found)
-    return run
+        draft.publish(run_id=run.id)
+        _recorded(store, run.id, date, "company", "success", n, found)
+    return run.id
 
 
 def run_departments(
@@ -154,17 +187,17 @@ def run_departments(
     assignments, catalog = (scope.read(version, t, SCHEMAS[t]) for t in ("assignments", "catalog"))
     if version is None or not departments.is_ready(assignments, catalog):
         raise ValueError(f"{date} has no company run to slice")
-    run = version.info["run_id"]
-    with _run(store, date, "departments"):
+    company_run = version.info["run_id"]
+    with _run(store, date, "departments") as run:
         vectors = scope.read(version, "vectors", SCHEMAS["vectors"]).drop("staff", "config_fp", "stat_date")
         words = scope.read(version, "tokens", SCHEMAS["tokens"])
         sliced = departments.sliced(vectors.join(assignments.select("session_id", "staff", "topic_id"), "session_id"), roster)
         by = ["department", "topic_id"]
         local = topics.topic_volume(sliced, by).join(topics.packed(topics.centroids(sliced, by), by), by)
-        targets = departments.drifted(local, scope.read(version, "centroids", SCHEMAS["centroids"]), s)
+        targets = departments.drifted(local, scope.read(version, "centroids", SCHEMAS["centroids"]), s, run.observed("drift"))
         free = (catalog.agg(F.max("topic_id")).first()[0] or 0) + 1
         ours = store.scope("departments", date)
-        draft = ours.draft()
+        draft = run.draft(ours)
         final = draft.write("members", departments.split_targets(sliced, targets, free, s))
         volume = departments.above_floor(topics.topic_volume(final, [*by, "parent_topic_id"]), s).drop("total", "floor")
         board = _board(volume, _words(final, words, by, ("department",)), by, s).where(F.col("rank") <= s.top_n)
@@ -178,11 +211,11 @@ def run_departments(
         board = draft.write("ranked", board.withColumnRenamed("department", "scope_id"))
         before = store.read("boards", _day_before(date)).where("scope_type = 'department'").select("scope_id", "topic_id", "rank", "heat", "words")
         shown = trend.with_trend(board, before, ["scope_id"], s)
-        shown = store.aligned("boards", shown, run_id=run, stat_date=date, scope_type="department")
+        shown = store.aligned("boards", shown, run_id=company_run, stat_date=date, scope_type="department")
         others = ours.read(draft.old, "boards", SCHEMAS["boards"]).join(roster.select(F.col("department").cast("string").alias("scope_id")).distinct(), "scope_id", "left_anti")
         published = draft.write("boards", shown.unionByName(others))
         draft.drop("members", "ranked")
-        draft.publish(run_id=run)
+        draft.publish(run_id=company_run)
         found = published.join(roster.select(F.col("department").cast("string").alias("scope_id")).distinct(), "scope_id", "left_semi").groupBy(F.col("scope_id").alias("department")).agg(F.count("*").alias("topics"))
         return store.spark.createDataFrame([(r.department, r.topics) for r in found.collect()], "department string, topics long")  # a company's departments
 
@@ -204,5 +237,10 @@ def run_of(store: Store, run_id: str) -> DataFrame:
     return store.read("runs").where(F.col("run_id") == run_id)
 
 
+def stages(store: Store, run_id: str) -> DataFrame:
+    """What a run noted: rows and seconds of each table it wrote, distributions that it observed."""
+    return store.read("stages").where(F.col("run_id") == run_id).drop("run_id")
+
+
 def runs(store: Store, limit: int = 100) -> DataFrame:
     return store.read("runs").orderBy(F.desc("stat_date"), "run_id").limit(limit)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,3 +181,31 @@ class Asked:
 
     def __call__(self, prompts: list[str]) -> list[str | None]:
         return [self._one(p) for p in prompts]
+
+
+class Embedding:
+    """An embedder made of one call (texts to vectors), with the rules of asking again; for embedded().
+
+    Busy and Unavailable are tried again, so often in all, after the pause that Busy names or one that doubles; Denied and
+    every other error end the run. As many vectors must come as texts went, all finite and ``width`` wide.
+    """
+
+    def __init__(self, call: Callable[[list[str]], np.ndarray], width: int, attempts: int = 4, pause: float = 1.0, limiter: SlidingWindow | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.call, self.width, self.attempts, self.pause, self.limiter, self.sleep = call, width, attempts, pause, limiter, sleep
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        for attempt in range(self.attempts):
+            try:
+                if self.limiter:
+                    self.limiter.acquire(1)
+                return checked_vectors(self.call(texts), texts, self.width)
+            except (Busy, Unavailable) as e:
+                if attempt == self.attempts - 1:
+                    raise
+                self.sleep(e.seconds if isinstance(e, Busy) else self.pause * 2**attempt)
+        raise ValueError("no attempt was allowed")
+
+
+def cacheable(text: Column, s: Settings = DEFAULTS) -> Column:
+    """Short texts come again on other days; only these are worth keeping beyond their own."""
+    return F.length(text) <= s.cacheable_chars

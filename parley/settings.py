@@ -50,6 +50,7 @@ class Settings:
     signal_lookback_days: int = 90
     embed_chars: int = 7500
     cacheable_chars: int = 24
+    cache_days: int = 7
 
 
 DEFAULTS = Settings()

@@ -26,6 +26,9 @@ SCHEMAS = {
     "manifests": "records long, embed_fp string, token_fp string, source_fp string, run_id string, stat_date string",
     "signals": "note_id string, manager string, customer string, no int, code string, status string, evidence string, verified boolean, stat_date date",
     "summaries": "manager string, customer string, window_end date, session_count long, last_contact date, business_days long, incomplete_days long, signals array<struct<code:string,status:string>>, input_fp string, summary string, status string, error string",
+    "text_vectors": "text_hash string, vector array<float>, config_fp string, stat_date string",
+    "calls": "purpose string, manager string, customer string, batch long, days long, prompt_chars long, status string, attempts long, tokens long, error string, called_at timestamp",
+    "stages": "run_id string, stat_date string, kind string, stage string, rows long, seconds double, least double, median double",
     "runs": "run_id string, stat_date string, kind string, status string, sessions long, topics long, error string",
 }
 #: Tables of a day's company run; the boards of all departments of a day are a scope of their own.
@@ -59,6 +62,8 @@ class Store:
         """A table as it is published now; ``date``: of one day."""
         if name in CONTACTS:
             return union_of([((s := self.scope("contacts")), s.current())], name, self.spark, SCHEMAS[name])
+        if name == "text_vectors":
+            return union_of([((s := self.scope("cache")), s.current())], name, self.spark, SCHEMAS[name])
         if name not in DAILY:
             rows = read_if_there(self.spark, self.path(name), SCHEMAS[name])
             return rows if date is None else rows.where(F.col("stat_date") == date)
@@ -129,6 +134,17 @@ class Store:
             draft.merge(name, self.aligned(name, new), SCHEMAS[name], keys, rule)
         return draft.publish(**info)
 
+    def cache_vectors(self, rows: DataFrame, before: str) -> None:
+        """Keeps vectors of texts (text_hash, vector, config_fp, stat_date) for other days. Those last made before a date go, where a merge passes."""
+        draft = self.scope("cache").draft()
+        keys = ["text_hash", "config_fp"]
+        draft.merge("text_vectors", self.aligned("text_vectors", rows.dropDuplicates(keys)), SCHEMAS["text_vectors"], ["text_hash"], lambda old, new: incremental.upserted(old.where(F.col("stat_date") >= before), new, keys))
+        draft.publish()
+
+    def log_calls(self, rows: DataFrame, purpose: str) -> None:
+        """One row for each call of a model, never the prompt."""
+        self.append("calls", rows.withColumn("purpose", F.lit(purpose)).withColumn("called_at", F.current_timestamp()))
+
     def save_notes(self, stats: DataFrame, notes: DataFrame, signals: DataFrame) -> Version:
         """Statistics, notes and their signals in one commit.
 

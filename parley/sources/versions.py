@@ -12,6 +12,7 @@ names the old files of all others. Several tables merged together become visible
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -110,6 +111,7 @@ class Draft:
         self.number = old.number + 1 if old else 1
         self.name = f"{self.number:08d}-{uuid.uuid4().hex[:12]}"
         self.tables: dict[str, dict] = {}
+        self.stages: list[tuple[str, int, float]] = []  # table, rows and seconds of each write
 
     @property
     def folder(self) -> str:
@@ -117,9 +119,10 @@ class Draft:
 
     def write(self, table: str, rows: DataFrame) -> DataFrame:
         """Writes the table and reads it back: what follows stands on files, not on a plan that a lost executor would run again. Counts in passing."""
-        path, seen = f"{self.folder}/{table}", Observation()
+        path, seen, began = f"{self.folder}/{table}", Observation(), time.monotonic()
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         self.tables[table] = {"paths": {"": path}, "rows": seen.get["rows"]}
+        self.stages.append((table, seen.get["rows"], time.monotonic() - began))
         return self.scope.spark.read.schema(rows.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
