@@ -161,18 +161,25 @@ def current_signals(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last.where("since IS NOT NULL").withColumn("since", F.date_from_unix_date("since"))
 
 
-def append_changes(stream: DataFrame, path: str, checkpoint: str, stop_after: Callable[[int], bool] | None = None) -> None:
+def append_changes(stream: DataFrame, path: str, checkpoint: str, stop_after: Callable[[int], bool] | None = None, partitions: int | None = None) -> None:
     """Runs what is there; each micro-batch's rows go to ``path``/batch=N. A batch that runs again, after a failure, replaces its rows.
 
-    ``stop_after``: is asked with each batch's number once its rows are written, before Spark commits it.
+    ``stop_after``: is asked with each batch's number once its rows are written, before Spark commits it. ``partitions``:
+    of the state, which the first run fixes for good; by default as many as the session shuffles to.
     """
+    conf = stream.sparkSession.conf
+    usual = conf.get("spark.sql.shuffle.partitions")
 
     def write(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if stop_after is not None and stop_after(number):
             raise InterruptedError(f"stopped after batch {number}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        conf.set("spark.sql.shuffle.partitions", partitions or usual)  # a query takes the session's settings when it starts
+        query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
     query.awaitTermination()
 
 
@@ -181,7 +188,7 @@ def changes_at(stream: DataFrame, path: str) -> DataFrame:
     return read_if_there(stream.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", batch long")
 
 
-def replayed(rows: DataFrame, part: Column, parts: int, changes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replayed(rows: DataFrame, part: Column, parts: int, changes: Callable[[DataFrame], DataFrame], partitions: int = 8) -> DataFrame:
     """What ``changes`` of a stream appends when a table comes in as ``parts`` micro-batches: rows whose ``part`` is 0 first, then 1, and so on.
 
     Each micro-batch is a run of its own that goes on from the checkpoint.
@@ -190,5 +197,5 @@ def replayed(rows: DataFrame, part: Column, parts: int, changes: Callable[[DataF
     for k in range(parts):
         rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
         stream = changes(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-        append_changes(stream, f"{folder}/changes", f"{folder}/checkpoint")
+        append_changes(stream, f"{folder}/changes", f"{folder}/checkpoint", partitions=partitions)
     return changes_at(stream, f"{folder}/changes")
