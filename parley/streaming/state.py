@@ -5,6 +5,11 @@ key's rows that may have changed. These changes are appended by batch to a table
 its own part), and current_sessions() and current_signals() read the rows that hold now from it. So nothing waits for
 the watermark to be seen, and the last rows need no closing message.
 
+Keys are kept in buckets by hash, an entry of the state each, and a call works on all keys of a bucket at once: a call
+for each key costs Python ten milliseconds, and what a task's calls leave is held until some rows come out, which at
+millions of keys filled the workers. A worker holds a bucket's part of a micro-batch and of the state; the first run
+fixes the number of buckets for good.
+
 The state is bounded by timers. Sessions that the watermark has passed by more than the gap are only counted from then
 on; signals opened longer ago than the look-back are dropped; a key without anything of that age is forgotten. Rows
 later than the watermark are left out, as Spark does it.
@@ -16,6 +21,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,65 +33,128 @@ from parley.sources.work import new_folder
 
 DAY = 86_400_000_000  # microseconds
 
-_SESSIONS = "generation long, closed long, started array<long>, ended array<long>, counted array<long>, last long"
+BUCKETS = 512
+
+_STATE = "named binary, parts binary"
 _SESSION_ROWS = "generation long, base long, session_seq long, msg_count long, started long, ended long"
-_SIGNALS = "code array<string>, closed_at array<long>, closed_id array<long>, open_at array<array<long>>, open_id array<array<long>>"
 _SIGNAL_ROWS = "code string, since int"
 
 
+def _bucketed(rows: DataFrame, keys: Sequence[str], buckets: int, *columns: str | Column) -> DataFrame:
+    """(_bucket, keys… as strings, so that pandas keeps nulls and long numbers apart, columns…)"""
+    return rows.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *(F.col(k).cast("string").alias(k) for k in keys), *columns)
+
+
+def _by_bucket(rows: DataFrame, run: Callable, keys: Sequence[str], kinds: T.StructType, columns: str) -> DataFrame:
+    """What ``run`` gives of each bucket, with the keys in the types of ``kinds``."""
+    own = T._parse_datatype_string(columns).fields
+    schema = T.StructType([*(T.StructField(k, T.StringType()) for k in keys), *own])
+    out = rows.groupBy("_bucket").applyInPandasWithState(run, schema, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*(F.col(k).cast(kinds[k].dataType).alias(k) for k in keys), *(f.name for f in own))
+
+
+def _bytes(rows: pd.DataFrame, names: Sequence[str] = ()) -> bytes:
+    """``rows`` as an Arrow stream; the columns ``names`` hold strings, the others whole numbers."""
+    table = pa.table({c: pa.array(rows[c], pa.string() if c in names else pa.int64(), from_pandas=True) for c in rows.columns})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _frames(state: GroupState, named: Sequence[str], columns: Sequence[str], parts: Sequence[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """What a bucket's state holds: a row for each owner (its names as objects, numbers) and the parts that belong to owners, by row number."""
+    if state.exists:
+        held, owned = (pa.ipc.open_stream(bytes(x)).read_all().to_pandas() for x in state.get)
+        return held.astype(dict.fromkeys(named, object)), owned
+    return pd.DataFrame({**{k: np.empty(0, object) for k in named}, **{c: np.empty(0, np.int64) for c in columns}}), pd.DataFrame({c: np.empty(0, np.int64) for c in parts})
+
+
+def _numbered(held: pd.DataFrame, rows: pd.DataFrame, names: Sequence[str], **fresh: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """``held`` with the owners that only ``rows`` has after it, and the row number of each row's owner."""
+    names = list(names)
+    both = pd.concat([held[names], rows[names].astype(object)], ignore_index=True)
+    ids = both.groupby(names, dropna=False, sort=False).ngroup().to_numpy(np.int64)  # in order of first sight: held ones keep their number
+    more = both[len(held) :][~pd.Series(ids[len(held) :]).duplicated().to_numpy() & (ids[len(held) :] >= len(held))]
+    return pd.concat([held, more.assign(**{c: np.full(len(more), v, np.int64) for c, v in fresh.items()})], ignore_index=True), ids[len(held) :]
+
+
+def _kept(held: pd.DataFrame, parts: pd.DataFrame, keep: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The owners to keep, and the parts (all of them theirs) under the new row numbers."""
+    return held[keep], parts.assign(owner=(np.cumsum(keep) - 1)[parts["owner"].to_numpy()])
+
+
+def _pieces(owner: np.ndarray, started: np.ndarray, ended: np.ndarray, counted: np.ndarray, gap: int) -> pd.DataFrame:
+    """merged_sessions() of many owners at once, by owner and start."""
+    order = np.lexsort((started, owner))
+    owner, started, ended, counted = owner[order], started[order], ended[order], counted[order]
+    reach = pd.Series(ended).groupby(owner, sort=False).cummax().to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (started[1:] - reach[:-1] > gap)])) if len(owner) else np.empty(0, np.int64)
+    if not len(first):
+        return pd.DataFrame({"owner": owner, "started": started, "ended": ended, "counted": counted})
+    return pd.DataFrame({"owner": owner[first], "started": started[first], "ended": np.maximum.reduceat(ended, first), "counted": np.add.reduceat(counted, first)})
+
+
 def merged_sessions(started: np.ndarray, ended: np.ndarray, counted: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sessions from pieces of sessions (single messages are pieces too): a piece more than the gap after all before it begins a new one."""
-    order = np.argsort(started, kind="stable")
-    started, ended, counted = started[order], ended[order], counted[order]
-    reach = np.maximum.accumulate(ended)
-    first = np.flatnonzero(np.concatenate([[True], started[1:] - reach[:-1] > gap]))
-    return started[first], np.maximum.reduceat(ended, first), np.add.reduceat(counted, first)
+    out = _pieces(np.zeros(len(started), np.int64), started, ended, counted, gap)
+    return out["started"].to_numpy(), out["ended"].to_numpy(), out["counted"].to_numpy()
 
 
 def _later(state: GroupState, at: int) -> None:
-    """Wakes the key when the watermark passes ``at`` (microseconds); timers must lie ahead of it."""
+    """Wakes the bucket when the watermark passes ``at`` (microseconds); timers must lie ahead of it."""
     state.setTimeoutTimestamp(max(-(-at // 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
 
 def _sessions_of(keys: list[str], gap: int, ttl: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs() * 1000
-        if state.exists:
-            generation, closed, *parts, last = state.get
-            parts = [np.array(p, np.int64) for p in parts]
-        else:
-            generation, closed, parts, last = mark, 0, [np.empty(0, np.int64)] * 3, 0
-        changed = False
+        held, parts = _frames(state, keys, ["generation", "closed", "last"], ["owner", "started", "ended", "counted"])
+        changed = np.zeros(len(held), bool)
         for rows in [] if state.hasTimedOut else batches:
             if len(rows):
                 at = rows["at"].to_numpy(np.int64)
-                parts = merged_sessions(*(np.concatenate([p, x]) for p, x in zip(parts, (at, at, np.ones(len(at), np.int64)), strict=True)), gap)
-                last, changed = max(last, int(at.max())), True
-        if changed:
-            n = len(parts[0])
-            yield pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key, strict=True)}, "generation": generation, "base": closed, "session_seq": closed + np.arange(n), "msg_count": parts[2], "started": parts[0], "ended": parts[1]})
-        done = int((parts[1] + gap < mark).sum())  # sessions lie in order of their ends
-        parts, closed = [p[done:] for p in parts], closed + done
-        if not len(parts[0]) and last + ttl < mark:
-            state.remove()
+                held, ids = _numbered(held, rows, keys, generation=mark, closed=0, last=0)
+                last = held["last"].to_numpy(np.int64, copy=True)
+                np.maximum.at(last, ids, at)
+                held["last"] = last
+                changed = np.concatenate([changed, np.zeros(len(held) - len(changed), bool)])
+                changed[ids] = True
+                more = (ids, at, at, np.ones(len(at), np.int64))
+                parts = _pieces(*(np.concatenate([parts[c].to_numpy(), x]) for c, x in zip(parts.columns, more, strict=True)), gap)
+        owner = parts["owner"].to_numpy()
+        now = parts[changed[owner]]
+        if len(now):
+            whose = held.iloc[now["owner"].to_numpy()]
+            base = whose["closed"].to_numpy()
+            yield pd.DataFrame({**{k: whose[k].to_numpy() for k in keys}, "generation": whose["generation"].to_numpy(), "base": base, "session_seq": base + now.groupby("owner").cumcount().to_numpy(), "msg_count": now["counted"].to_numpy(), "started": now["started"].to_numpy(), "ended": now["ended"].to_numpy()})
+        done = (parts["ended"] + gap < mark).to_numpy()  # a key's sessions lie in order of their ends
+        held["closed"] += np.bincount(owner[done], minlength=len(held))
+        parts = parts[~done]
+        open_ = np.bincount(parts["owner"], minlength=len(held)) > 0
+        keep = open_ | (held["last"] + ttl >= mark).to_numpy()
+        if not keep.any():
+            if state.exists:
+                state.remove()
             return
-        state.update((generation, closed, *(p.tolist() for p in parts), last))
-        _later(state, (int(parts[1][0]) + gap) if len(parts[0]) else last + ttl)
+        wake = min([*(parts["ended"].nsmallest(1) + gap), *(held["last"][keep & ~open_].nsmallest(1) + ttl)])
+        held, parts = _kept(held, parts, keep)
+        state.update((_bytes(held, keys), _bytes(parts)))
+        _later(state, int(wake))
 
     return run
 
 
-def session_changes(messages: DataFrame, keys: Sequence[str], time: str = "msg_time", watermark: str = "1 day", ttl_days: int = DEFAULTS.signal_lookback_days, s: Settings = DEFAULTS) -> DataFrame:
+def session_changes(messages: DataFrame, keys: Sequence[str], time: str = "msg_time", watermark: str = "1 day", ttl_days: int = DEFAULTS.signal_lookback_days, s: Settings = DEFAULTS, buckets: int = BUCKETS) -> DataFrame:
     """(keys…, generation, base, session_seq, msg_count, started, ended): of each key of a micro-batch its sessions from number ``base`` on.
 
     Update mode. A key that was silent for ``ttl_days`` is forgotten; its sessions then count from 0 again, under a new
     ``generation``. Null keys are a key like any other; rows without a time are left out.
     """
     at = F.col(time).cast("timestamp")
-    rows = messages.where(F.col(time).isNotNull()).withColumn("_time", at).withWatermark("_time", watermark).select(*keys, "_time", F.unix_micros("_time").alias("at"))
-    schema = T.StructType([*(messages.schema[k] for k in keys), *T._parse_datatype_string(_SESSION_ROWS).fields])
-    run = _sessions_of(list(keys), s.session_gap_minutes * 60_000_000, ttl_days * DAY)
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, _SESSIONS, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = messages.where(F.col(time).isNotNull()).withColumn("_time", at).withWatermark("_time", watermark)
+    rows = _bucketed(rows, keys, buckets, "_time", F.unix_micros("_time").alias("at"))
+    return _by_bucket(rows, _sessions_of(list(keys), s.session_gap_minutes * 60_000_000, ttl_days * DAY), keys, messages.schema, _SESSION_ROWS)
 
 
 def current_sessions(changes: DataFrame, keys: Sequence[str], kind: str = "timestamp") -> DataFrame:
@@ -105,44 +174,46 @@ def current_sessions(changes: DataFrame, keys: Sequence[str], kind: str = "times
 
 
 def _signals_of(keys: list[str], lookback: int):
+    names = [*keys, "code"]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         horizon = state.getCurrentWatermarkMs() // 86_400_000 - lookback  # days before this one are forgotten
-        held: dict[str, list] = {}
-        if state.exists:
-            for code, at, n, days, ids in zip(*state.get, strict=True):
-                held[code] = [(at, n), dict(zip(days, ids, strict=True))]
-        touched = set()
+        held, opened = _frames(state, names, ["day", "id"], ["owner", "day", "id"])  # of an owner (keys and code) the last closing; its openings
+        touched = np.zeros(len(held), bool)
         for rows in [] if state.hasTimedOut else batches:
-            for code, status, day, n in zip(rows["code"], rows["status"], rows["day"], rows["event_id"], strict=True):
-                last, opened = held.setdefault(code, [(-(1 << 40), 0), {}])
-                touched.add(code)
-                if status == "closed":
-                    held[code][0] = max(last, (int(day), int(n)))
-                else:  # of a day's openings the last one tells whether the day counts
-                    opened[int(day)] = max(opened.get(int(day), int(n)), int(n))
-        left = {}
-        for code, (closed, opened) in held.items():
-            before = min(opened, default=None)
-            opened = {d: n for d, n in opened.items() if (d, n) > closed and d >= horizon}
-            if min(opened, default=None) != before:
-                touched.add(code)
-            if opened or closed[0] >= horizon:
-                left[code] = (closed, opened)
-        if touched:
-            since = [min(left[c][1], default=None) if c in left else None for c in sorted(touched)]
-            yield pd.DataFrame({**{k: [v] * len(since) for k, v in zip(keys, key, strict=True)}, "code": sorted(touched), "since": pd.array(since, "Int32")})
-        if not left:
+            if len(rows):
+                held, ids = _numbered(held, rows, names, day=-(1 << 40), id=0)
+                touched = np.concatenate([touched, np.zeros(len(held) - len(touched), bool)])
+                touched[ids] = True
+                new = pd.DataFrame({"owner": ids, "day": rows["day"].to_numpy(np.int64), "id": rows["event_id"].to_numpy(np.int64)})
+                shut = (rows["status"] == "closed").to_numpy()
+                last = pd.concat([held[["day", "id"]].assign(owner=np.arange(len(held))), new[shut]]).sort_values(["owner", "day", "id"]).drop_duplicates("owner", keep="last")
+                held["day"], held["id"] = last["day"].to_numpy(), last["id"].to_numpy()
+                # of a day's openings the last one tells whether the day counts
+                opened = pd.concat([opened, new[~shut]]).groupby(["owner", "day"], as_index=False)["id"].max()
+        owner, day = opened["owner"].to_numpy(), opened["day"].to_numpy()
+        at, number = (held[c].to_numpy()[owner] for c in ("day", "id"))
+        stays = ((day > at) | ((day == at) & (opened["id"].to_numpy() > number))) & (day >= horizon)
+        touched[owner[~stays]] = True
+        opened = opened[stays]
+        since = opened.groupby("owner")["day"].min().reindex(np.arange(len(held)))
+        if touched.any():
+            yield pd.DataFrame({**{k: held[k].to_numpy()[touched] for k in names}, "since": since[touched].astype("Int32").array})
+        fresh = (held["day"] >= horizon).to_numpy()
+        keep = fresh | since.notna().to_numpy()
+        if not keep.any():
             if state.exists:
                 state.remove()
             return
-        state.update(([*left], [c[0] for c, _ in left.values()], [c[1] for c, _ in left.values()], [list(o) for _, o in left.values()], [list(o.values()) for _, o in left.values()]))
-        oldest = min(min([c[0] for c, o in left.values() if c[0] >= horizon] + [d for _, o in left.values() for d in o]), 1 << 30)
-        _later(state, (oldest + lookback + 1) * DAY)
+        oldest = min([*held["day"][fresh].nsmallest(1), *opened["day"].nsmallest(1)])
+        held, opened = _kept(held, opened, keep)
+        state.update((_bytes(held, names), _bytes(opened)))
+        _later(state, (int(oldest) + lookback + 1) * DAY)
 
     return run
 
 
-def signal_changes(events: DataFrame, keys: Sequence[str], watermark: str = "1 day", lookback_days: int = DEFAULTS.signal_lookback_days) -> DataFrame:
+def signal_changes(events: DataFrame, keys: Sequence[str], watermark: str = "1 day", lookback_days: int = DEFAULTS.signal_lookback_days, buckets: int = BUCKETS) -> DataFrame:
     """(keys…, code, since): of each key and code that a micro-batch touches, the first day since which it is open, null where it is not.
 
     ``events``: keys, event_id, code, status (open or closed), event_date. Update mode. A code that was opened longer
@@ -150,9 +221,8 @@ def signal_changes(events: DataFrame, keys: Sequence[str], watermark: str = "1 d
     """
     rows = events.where(F.col("status").isin("open", "closed") & F.col("event_date").isNotNull() & F.col("code").isNotNull())
     rows = rows.withColumn("_time", F.col("event_date").cast("timestamp")).withWatermark("_time", watermark)
-    rows = rows.select(*keys, "_time", "code", "status", F.unix_date("event_date").alias("day"), F.col("event_id").cast("long").alias("event_id"))
-    schema = T.StructType([*(events.schema[k] for k in keys), *T._parse_datatype_string(_SIGNAL_ROWS).fields])
-    return rows.groupBy(*keys).applyInPandasWithState(_signals_of(list(keys), lookback_days), schema, _SIGNALS, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = _bucketed(rows, keys, buckets, "_time", "code", "status", F.unix_date("event_date").alias("day"), F.col("event_id").cast("long").alias("event_id"))
+    return _by_bucket(rows, _signals_of(list(keys), lookback_days), keys, events.schema, _SIGNAL_ROWS)
 
 
 def current_signals(changes: DataFrame, keys: Sequence[str]) -> DataFrame:

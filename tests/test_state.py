@@ -118,3 +118,19 @@ def test_signals_opened_before_the_look_back_are_not_open(spark):
     late = contacts.open_signals(rows, F.lit("2024-05-05").cast("date") - F.expr("INTERVAL 1 DAY"))
     want = {(r.customer, r.code, str(r.since)) for r in late.collect()}
     assert want <= got | {(4, "A", "2024-05-05")} and (1, "A", "2024-01-01") not in got and (2, "A", "2024-03-01") in got
+
+
+def entries(spark, path):
+    """Entries of the state after a stream's last batch."""
+    return spark.read.format("statestore").load(f"file://{path}/checkpoint").count()
+
+
+def test_many_keys_share_entries_of_the_state(spark, tmp_path):
+    """An entry a key took a call of Python each; null keys, and numbers that no double holds, stay apart in a bucket."""
+    number = F.when(F.col("id") % 50 == 0, None).otherwise(F.lit((1 << 53) + 1) + F.col("id") % 999)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("m"), F.col("id") % 2)).alias("staff"), number.alias("customer"), F.timestamp_seconds(F.col("id") * 311 % 40_000 + 1_700_000_000).alias("msg_time"))
+    rows.write.parquet(f"file://{tmp_path}/in")
+    stream = state.session_changes(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), KEYS)
+    state.append_changes(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", partitions=4)
+    assert streamed(state.changes_at(stream, f"file://{tmp_path}/out")) == batch_sessions(rows)
+    assert 0 < entries(spark, tmp_path) <= state.BUCKETS < rows.select(*KEYS).distinct().count()
