@@ -261,11 +261,13 @@ def changes_at(stream: DataFrame, path: str) -> DataFrame:
 def replayed(rows: DataFrame, part: Column, parts: int, changes: Callable[[DataFrame], DataFrame], partitions: int = 8) -> DataFrame:
     """What ``changes`` of a stream appends when a table comes in as ``parts`` micro-batches: rows whose ``part`` is 0 first, then 1, and so on.
 
-    Each micro-batch is a run of its own that goes on from the checkpoint.
+    Each micro-batch is a run of its own that goes on from the checkpoint. ``rows`` are computed once, for all parts.
     """
     spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "replay")
+    rows.withColumn("_part", part).write.partitionBy("_part").parquet(f"{folder}/parts")
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(f"{folder}/parts")
     for k in range(parts):
-        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        dealt.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{folder}/in")
         stream = changes(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
         append_changes(stream, f"{folder}/changes", f"{folder}/checkpoint", partitions=partitions)
     return changes_at(stream, f"{folder}/changes")

@@ -134,3 +134,16 @@ def test_many_keys_share_entries_of_the_state(spark, tmp_path):
     state.append_changes(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", partitions=4)
     assert streamed(state.changes_at(stream, f"file://{tmp_path}/out")) == batch_sessions(rows)
     assert 0 < entries(spark, tmp_path) <= state.BUCKETS < rows.select(*KEYS).distinct().count()
+
+
+def test_many_signals_share_entries_of_the_state(spark, tmp_path):
+    rows = spark.range(3000).select(F.lit(None).cast("string").alias("manager"), (F.lit((1 << 53) + 1) + F.col("id") % 999).alias("customer"), F.col("id").alias("event_id"), F.concat(F.lit("C"), F.col("id") % 2).alias("code"))
+    rows = rows.select("*", F.when(F.xxhash64("event_id") % 3 == 0, "closed").otherwise("open").alias("status"), F.expr("date_add(DATE'2024-03-01', CAST(event_id % 11 AS INT))").alias("event_date"))
+    rows.write.parquet(f"file://{tmp_path}/in")
+    keys = ["manager", "customer"]
+    stream = state.signal_changes(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), keys, "20 days")
+    state.append_changes(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", partitions=4)
+    got = {(r.customer, r.code, str(r.since)) for r in state.current_signals(state.changes_at(stream, f"file://{tmp_path}/out"), keys).collect()}
+    want = contacts.open_signals(rows.fillna("-", ["manager"])).select("customer", "code", "since").collect()
+    assert got == {(r.customer, r.code, str(r.since)) for r in want} and len(got) > 900
+    assert 0 < entries(spark, tmp_path) <= state.BUCKETS
