@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ CJK = r"[　-〿㐀-鿿＀-￯]"
 HAN = r"[一-鿿]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; a plain column would be computed anew at each name."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mask_pii(text: Column) -> Column:
     """What counts as personal data is masked. It has eleven digits in a row or an @; other texts are not searched further."""
     masked = text
@@ -33,8 +40,8 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space as single spaces, none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space as single spaces, none at the ends. Single spaces, the usual case, are not replaced by themselves."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def without_space(text: Column) -> Column:
@@ -88,7 +95,7 @@ def window_label(days: int) -> str:
 
 
 # Fixed value: the units that make a number a quantity.
-QUANTITY = r"\d+(?:\.\d+)?\s*(?:%|％|万|元|亿)"
+QUANTITY = r"(?<!\d)\d++(?:\.\d++)?+\s*+(?:%|％|万|元|亿)"  # a digit after digits, or fewer of them, would meet the same end
 
 
 def numbers_in(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions.text import clip_line, collapse, estimate_tokens, evidence_key, json_object, mask_pii, numbers_in, period_label, without_space
+from parley.functions.text import clip_line, collapse, estimate_tokens, evidence_key, json_object, let, mask_pii, numbers_in, period_label, without_space
 from parley.functions.vectors import is_subset
 from parley.settings import DEFAULTS, Settings
 
@@ -294,18 +294,25 @@ def fitted_notes(notes: DataFrame, budget: int = DEFAULTS.notes_budget, keys: Se
 
 def summary_faults(summary: Column, source: Column, business_days: Column, strict: bool = True) -> Column:
     """Names of the rules that a summary breaks, as an array; empty when it may be shown."""
-    text = collapse(F.coalesce(summary, F.lit("")))
     low, high = (F.when(business_days <= LENGTHS[0][0], LENGTHS[0][k]).when(business_days <= LENGTHS[1][0], LENGTHS[1][k]).otherwise(LENGTHS[2][k]) for k in (1, 2))
     high = high if strict else F.floor(high * 1.5)
-    known = without_space(F.coalesce(source, F.lit("")))
-    forbidden = F.lit(False)
-    for word in FORBIDDEN:
-        forbidden = forbidden | F.contains(text, F.lit(word))
-    rules = [
-        ("empty", text == ""), ("contact count", text.rlike(CONTACT_COUNT)), ("too long", F.length(text) > high), ("too short", (text != "") & (F.length(text) < low)),
-        ("unknown number", F.exists(numbers_in(text), lambda n: ~F.contains(known, n))), ("personal data", mask_pii(text) != text), ("internal term", forbidden | text.rlike(SIGNAL_CODE)),
-    ]
-    return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules)))
+
+    def unknown(found: Column) -> Column:
+        missing = let(without_space(F.coalesce(source, F.lit(""))), lambda known: F.exists(found, lambda n: ~F.contains(known, n)))
+        return F.when(F.size(found) > 0, missing).otherwise(F.lit(False))
+
+    def broken(text: Column) -> Column:
+        forbidden = F.lit(False)
+        for word in FORBIDDEN:
+            forbidden = forbidden | F.contains(text, F.lit(word))
+        # a plain search for what every match has goes before the slower patterns
+        rules = [
+            ("empty", text == ""), ("contact count", F.contains(text, F.lit("次")) & text.rlike(CONTACT_COUNT)), ("too long", F.length(text) > high), ("too short", (text != "") & (F.length(text) < low)),
+            ("unknown number", let(F.array_distinct(numbers_in(text)), unknown)), ("personal data", mask_pii(text) != text), ("internal term", forbidden | (F.contains(text, F.lit("_")) & text.rlike(SIGNAL_CODE))),
+        ]
+        return F.array_compact(F.array(*(F.when(found, F.lit(name)) for name, found in rules)))
+
+    return let(collapse(F.coalesce(summary, F.lit(""))), broken)
 
 
 def signal_line() -> Column:

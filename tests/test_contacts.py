@@ -124,6 +124,14 @@ def test_summary_rules(spark):
     assert {r.t: r.f for r in loose}[base * 4] == []
 
 
+def test_summary_rules_compute_the_texts_once(spark):
+    """Each rule had its own copy of the normal form of the whole text, and each number one of the source."""
+    n = F.col("id").cast("string")
+    faults = contacts.summary_faults(F.concat(F.lit("the-text"), n), F.concat(F.lit("the-source"), n), F.col("id"))
+    plan = spark.range(5).select(faults.alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("the-text"), plan.count("the-source")) == (1, 1)
+
+
 def test_status_shares_and_eta(spark):
     rows = spark.createDataFrame([(0, 3), (1, 3), (3, 3)], "failed int, total int")
     assert [r.s for r in rows.select(contacts.run_status(F.col("failed"), F.col("total")).alias("s")).collect()] == ["success", "partial_success", "failed"]

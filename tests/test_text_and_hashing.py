@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,3 +78,15 @@ def test_cosine_of_zero(spark):
 
 def test_patterns_are_as_fixed():
     assert re.search(text.EMAIL, "a@b.co")
+
+
+def test_shorter_patterns_find_the_same(spark):
+    space = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    pieces = [" ", "  ", "\t", "\u3000", "\xa0 ", "\r\n", "\u2009\u2009", "a", "b_", "1", "12.5", "1.2.3", ".", "99 ", "5\n", "%", "万", "元x", "1234567890123", "１", "\x1c", "🙂"]
+    rng = np.random.default_rng(5)
+    cases = sorted({"".join(rng.choice(pieces, rng.integers(1, 9))) for _ in range(2000)})
+    rows = spark.createDataFrame([(c,) for c in cases], "x string").select("x", text.collapse(F.col("x")).alias("c"), text.numbers_in(F.col("x")).alias("n")).collect()
+    quantity = re.compile("[0-9]+(?:\\.[0-9]+)?[\t-\r ]*(?:%|％|万|元|亿)")
+    for r in rows:
+        assert r.c == re.sub(space, " ", r.x).strip(" ")
+        assert r.n == [re.sub(space, "", q) for q in quantity.findall(r.x)]
