@@ -147,3 +147,15 @@ def test_many_signals_share_entries_of_the_state(spark, tmp_path):
     want = contacts.open_signals(rows.fillna("-", ["manager"])).select("customer", "code", "since").collect()
     assert got == {(r.customer, r.code, str(r.since)) for r in want} and len(got) > 900
     assert 0 < entries(spark, tmp_path) <= state.BUCKETS
+
+
+def test_a_replay_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(n):
+        seen.add(1)
+        return n
+
+    rows = messages(spark, 60).withColumn("id", F.udf(noted, "long").asNondeterministic()("id"))
+    changes = state.replayed(rows, F.col("id") % 2, 2, lambda x: state.session_changes(x, KEYS, watermark="10 days"), 2)
+    assert seen.value == 80 and changes.where("batch >= 0").count() > 0
